@@ -1,0 +1 @@
+"""Retrieval over recorded conversations, as Spark plans over Parquet tables."""
