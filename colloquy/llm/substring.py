@@ -86,10 +86,11 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, key long, sha256 string, anchors array<long>")
 
 
-def stretches(docs: DataFrame, window: int) -> DataFrame:
+def stretches(docs: DataFrame, window: int, rows: int = DEAL) -> DataFrame:
     """Windows whose representative is repeated, in arrays of consecutive ones with one representative.
 
-    ``docs``: doc_id, text, repeated (array of (anchor, n)).  A common anchor's stretches get one of several ``deal``.
+    ``docs``: doc_id, text, repeated (array of (anchor, n)).  The stretches of an anchor that
+    more than ``rows`` places have are dealt out: each gets one of several ``deal``.
     """
 
     def run(batches):
@@ -125,7 +126,7 @@ def stretches(docs: DataFrame, window: int) -> DataFrame:
                 head = np.flatnonzero(place % STRETCH == 0)
                 at_word = starts[head]
                 lo = at_word - first_word[row[at_word]]
-                deals = -(-counts[found[at_word]] // DEAL)
+                deals = -(-counts[found[at_word]] // rows)
                 ids = np.asarray(part.column("doc_id"))[row[at_word]]
                 deal = mix(ids.view(np.uint64) * np.uint64(31) + lo.astype(np.uint64)) % deals.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -231,7 +232,7 @@ def cut(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n_removed long, sha256 string" + ", kept string" * texts)
 
 
-def removals(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+def removals(docs: DataFrame, window: int = WINDOW, texts: bool = False, deal: int = DEAL) -> DataFrame:
     """doc_id, n_words, n_removed, sha256, and ``kept``: null where nothing is removed, else the kept words joined by a space.
 
     One row for each row of ``docs``; ``kept`` only with ``texts``; sha256 is of the kept words joined by one space.
@@ -251,7 +252,7 @@ def removals(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> Data
     by_doc = anchors.join(repeated, "anchor")
     by_doc = scratch.write(by_doc.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "n")).alias("repeated")), "survivors")
     scratch.drop(anchors, repeated)
-    extended = scratch.write(stretches(docs.join(by_doc, "doc_id").select("doc_id", "text", "repeated"), window), "stretches")
+    extended = scratch.write(stretches(docs.join(by_doc, "doc_id").select("doc_id", "text", "repeated"), window, deal), "stretches")
     scratch.drop(by_doc)
     seen = scratch.write(later(extended.repartition("anchor", "deal")), "seen")
     scratch.drop(extended)
