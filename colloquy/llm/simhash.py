@@ -20,6 +20,7 @@ an empty table gives an empty one.  Other input columns are ignored (``fingerpri
 from __future__ import annotations
 
 import math
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +36,7 @@ from .shared import Scratch, has
 SHINGLE, RADIUS = 5, 4
 #: Fixed value: the seed of the hash.
 XX_SEED = 42
-#: Variants that one part is meant to have, and that one step sorts at most (but for a single fingerprint's own).
+#: Variants that one part is meant to have, and that one step sorts at most.
 VARIANTS = 1 << 20
 NULL_ID = (1 << 63) - 1
 
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+@cache
 def ball(bits: int, radius: int) -> list[int]:
     """All values of so many bits with at most ``radius`` ones."""
     return [sum(1 << i for i in c) for n in range(radius + 1) for c in combinations(range(bits), n)]
@@ -94,39 +96,44 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def link_part(members: np.ndarray, lead: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root) among the fingerprints whose ball has variants with this leading part."""
-    half, rest = radius // 2, 64 - bits
-    far = np.bitwise_count((members >> np.uint64(rest)) ^ np.uint64(lead))
     root = np.arange(len(members))
-    rings = [np.array(ball(rest, half - d), np.uint64) for d in range(half + 1)]
-    made = sum(int((far == d).sum()) * len(rings[d]) for d in range(half + 1))
-    # Variants are taken by ``more`` further bits at once, where there are too many.
-    more = min(rest, max(0, math.ceil(math.log2(max(1, made / (4 * VARIANTS))))))
-    tail = np.uint64((1 << rest) - 1)
-    for block in range(1 << more):
-        variants, owners = [], []
-        for d, ring in enumerate(rings):
-            own = np.flatnonzero(far == d)
-            for at in range(0, len(own), max(1, VARIANTS // len(ring))):
-                some = own[at : at + max(1, VARIANTS // len(ring))]
-                v = ((members[some] & tail)[:, None] ^ ring[None, :]).ravel()
-                o = np.repeat(some, len(ring))
-                if more:
-                    keep = v >> np.uint64(rest - more) == np.uint64(block)
-                    v, o = v[keep], o[keep]
-                variants.append(v)
-                owners.append(o.astype(np.int32))
-        v, o = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(v)
-        v, o = v[order], o[order]
-        same = np.flatnonzero(v[1:] == v[:-1])
-        pairs = np.unique(o[same].astype(np.int64) * len(members) + o[same + 1])
-        a, b = pairs // len(members), pairs % len(members)
-        near = np.bitwise_count(members[a] ^ members[b]) <= radius  # holds for all on one variant
-        merge(root, a[near], b[near])
+    meet(members, np.arange(len(members)), lead, bits, radius, root)
     linked = np.flatnonzero(root != np.arange(len(members)))
     return members[linked], members[root[linked]]
 
 
+def meet(members: np.ndarray, some: np.ndarray, lead: int, bits: int, radius: int, root: np.ndarray) -> None:
+    """Joins in ``root`` those of ``some`` that share a variant with this leading part.
+
+    Where that would be too many variants to sort at once, the part is divided by its next bits.
+    """
+    half, rest = radius // 2, 64 - bits
+    far = np.bitwise_count((members[some] >> np.uint64(rest)) ^ np.uint64(lead))
+    some, far = some[far <= half], far[far <= half]
+    if len(some) < 2:
+        return
+    made = sum(int((far == d).sum()) * math.comb(rest, n) for d in range(half + 1) for n in range(half - d + 1))
+    if made > VARIANTS and rest:
+        more = min(rest, 4)
+        for block in range(1 << more):
+            meet(members, some, lead << more | block, bits + more, radius, root)
+        return
+    tail = np.uint64((1 << rest) - 1)
+    variants, owners = [], []
+    for d in range(half + 1):
+        ring, own = np.array(ball(rest, half - d), np.uint64), some[far == d]
+        variants.append(((members[own] & tail)[:, None] ^ ring[None, :]).ravel())
+        owners.append(np.repeat(own, len(ring)).astype(np.int32))
+    v, o = np.concatenate(variants), np.concatenate(owners)
+    order = np.argsort(v)
+    v, o = v[order], o[order]
+    same = np.flatnonzero(v[1:] == v[:-1])
+    pairs = np.unique(o[same].astype(np.int64) * len(members) + o[same + 1])
+    a, b = pairs // len(members), pairs % len(members)
+    near = np.bitwise_count(members[a] ^ members[b]) <= radius  # holds for all on one variant
+    merge(root, a[near], b[near])
+
+
 def links(distinct: DataFrame, bits: int, radius: int = RADIUS) -> DataFrame:
     """(a, b): fingerprints in one class, such that all within ``radius`` bits are joined by links."""
     rest = 64 - bits
