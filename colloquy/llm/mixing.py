@@ -114,10 +114,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
 
     Copies are joined on doc_id; where a doc_id repeats, its rows get the copies of one of them (the largest number).
     """
-    taken = copies(docs, weights, most, seed).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_mixed_id")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    taken = copies(docs, weights, most, seed).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_colloquy_copies"))
+    taken = taken.withColumnRenamed("doc_id", "_colloquy_mixed")
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_colloquy_mixed")))
+    return out.withColumn("_colloquy_copy", F.explode(F.sequence(F.lit(1), F.col("_colloquy_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:

@@ -214,8 +214,8 @@ def dedup(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
 
     Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
     """
-    gone = components(docs, k, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    gone = components(docs, k, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_colloquy_gone")).distinct()
+    return docs.join(gone, docs.doc_id == F.col("_colloquy_gone"), "left_anti")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

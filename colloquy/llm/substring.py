@@ -284,12 +284,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A text that loses nothing stays byte for byte; of one that does, the kept words are joined by one space.  A document
     of which no word is left goes.  Where doc_id repeats, a row with no cut of its own may get that of its namesake.
     """
-    cuts = removals(docs, window, texts=True).filter("n_removed > 0").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.min("kept").alias("_kept"))
-    out = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_cut_id")), "left").filter("_kept is null or _kept <> ''")
-    text = F.coalesce("_kept", "text")
+    cuts = removals(docs, window, texts=True).filter("n_removed > 0").groupBy(F.col("doc_id").alias("_colloquy_cut")).agg(F.min("kept").alias("_colloquy_kept"))
+    out = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_colloquy_cut")), "left").filter("_colloquy_kept is null or _colloquy_kept <> ''")
+    text = F.coalesce("_colloquy_kept", "text")
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_colloquy_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
