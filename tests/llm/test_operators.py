@@ -310,6 +310,26 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.scores(d, labels.filter("false")).collect()} == {0.0}
 
 
+def test_toxicity_keeps_every_count(spark, monkeypatch):
+    import pyarrow as pa
+
+    from colloquy.llm.bytewords import flat
+    from colloquy.llm.shared import Scratch
+
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 3_000_000).astype(np.uint64))
+    table = toxicity.Table(keys, np.arange(2 * len(keys)).reshape(-1, 2) % 1000 + 1)
+    assert (table(keys) == np.arange(2 * len(keys)).reshape(-1, 2) % 1000 + 1).all() and not table(keys + np.uint64(1 << 63)).any()
+    rows = [(i, passage(i % 37, 50) + " " + passage(i, 9), int(i % 3 == 0)) for i in range(200)]
+    counts = toxicity.count_bigrams(spark.createDataFrame(rows, "doc_id long, text string, _toxic int"))
+    short = toxicity.gather(counts, Scratch(spark, "t"))
+    monkeypatch.setattr(toxicity, "tells", lambda o, t: F.lit(True))
+    monkeypatch.setattr(toxicity, "alone", lambda: F.lit(False))
+    whole = toxicity.gather(counts, Scratch(spark, "t"))
+    assert len(whole.pairs.mark) - 1 == counts.count() > len(short.pairs.mark)
+    key, begun, _ = toxicity.bigrams(*flat(pa.array([r[1] for r in rows] + [passage(9999, 300)])))
+    assert (short.differences(key, begun) == whole.differences(key, begun)).all()
+
+
 def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/2", "http://example.com/fr/", "http://x.net/es/1", "http://x.net/de/1", "http://com", "nothing", None, "://", "ftp://h.org/a#b", "http://notcom/x"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(100 + i, f"http://good{i}.com/fr/{i}") for i in range(40)] + [(200 + i, f"http://spam{i}.net/es/{i}") for i in range(40)]
