@@ -330,6 +330,14 @@ def test_toxicity_keeps_every_count(spark, monkeypatch):
     assert (short.differences(key, begun) == whole.differences(key, begun)).all()
 
 
+def test_toxicity_counts_what_it_does_not_calibrate_on(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
+    docs, labels = frame(spark, [(i, "a", "en", "s") for i in range(300)]), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r._apart for r in toxicity.labelled(docs, labels).collect()}
+    assert set(got) == {i for i in range(300) if zlib.crc32(str(i).encode()) % 5} and sum(got.values()) == 10
+    assert all(zlib.crc32(str(i).encode()) % 5 == 1 for i, apart in got.items() if apart)
+
+
 def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/2", "http://example.com/fr/", "http://x.net/es/1", "http://x.net/de/1", "http://com", "nothing", None, "://", "ftp://h.org/a#b", "http://notcom/x"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(100 + i, f"http://good{i}.com/fr/{i}") for i in range(40)] + [(200 + i, f"http://spam{i}.net/es/{i}") for i in range(40)]
