@@ -22,7 +22,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, has
+from .shared import Scratch, has, text_digest
 
 #: Weights by the order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -65,12 +65,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     return ranked.select("source", "source_size", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_w") * free).alias("target"))
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of (doc_id, source, text)."""
+def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, digests: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (and, if asked for, the text's digest) for each row of (doc_id, source, text)."""
     has(docs, "doc_id", "source", "text")
     scratch = Scratch(docs.sparkSession, "mixing")
     size = words(F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size")).withColumns(
+    sized = docs.select("doc_id", "source", size.alias("size"), *[text_digest().alias("digest")] * digests).withColumns(
         {
             "_class": F.floor(F.sqrt(F.col("size").cast("double")) * CLASSES).cast("long"),
             "_part": F.coalesce(F.pmod(F.col("doc_id"), F.lit(PARTS)), F.lit(-1)).cast("long"),
@@ -98,7 +98,7 @@ def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank, u = (F.col("_start") + F.col("_in")).cast("double"), F.lit(offset(seed))
     crossed = F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"), *["digest"] * digests)
 
 
 #: Up to so many sources, their targets (a few dozen bytes each) are broadcast.
@@ -112,11 +112,13 @@ def few_sources(parts: DataFrame) -> bool:
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The documents that the mix takes, each row as often as it is taken, with the columns of ``docs``.
 
-    Copies are joined on doc_id; where a doc_id repeats, its rows get the copies of one of them (the largest number).
+    Copies are joined on doc_id, source and the text's digest; rows equal in all of these get the largest number of theirs.
     """
-    taken = copies(docs, weights, most, seed).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_colloquy_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_colloquy_mixed")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_colloquy_mixed")))
+    names = {"doc_id": "_colloquy_mixed", "source": "_colloquy_source", "digest": "_colloquy_digest"}
+    taken = copies(docs, weights, most, seed, digests=True).filter("copies > 0").groupBy(*names).agg(F.max("copies").alias("_colloquy_copies"))
+    taken = taken.withColumnsRenamed(names)
+    same = F.col("doc_id").eqNullSafe(F.col("_colloquy_mixed")) & F.col("source").eqNullSafe(F.col("_colloquy_source"))
+    out = docs.join(taken, same & (text_digest() == F.col("_colloquy_digest")))
     return out.withColumn("_colloquy_copy", F.explode(F.sequence(F.lit(1), F.col("_colloquy_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,3 +79,8 @@ def has(df: DataFrame, *columns: str) -> None:
     """Raises ValueError where an input lacks a column that the operator reads."""
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+
+
+def text_digest() -> Column:
+    """16 bytes that tell rows of one doc_id (or of none) apart by their text; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))

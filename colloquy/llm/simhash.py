@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, flat, slices
-from .shared import Scratch, has
+from .shared import Scratch, has, text_digest
 
 #: Words in a shingle and differing bits in a link.  The contract of op3 fixes 4 and 4; 5 words are the general setting.
 SHINGLE, RADIUS = 5, 4
@@ -55,8 +55,8 @@ def fingerprint(words: list[bytes], k: int) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) for each row of (doc_id, text)."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and, if asked for, the text's digest for each row of (doc_id, text)."""
     has(docs, "doc_id", "text")
 
     def run(batches):
@@ -65,9 +65,11 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 data, at = flat(part.column("text"))
                 low = LOWER[data].tobytes()
                 fps = [fingerprint(low[a:b].split(), k) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                columns = [part.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), *([part.column("digest")] if digests else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *["digest"] * digests])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[text_digest().alias("digest")] * digests)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digests)
 
 
 @cache
@@ -187,13 +189,16 @@ def contract(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     return moves and moves.withColumnRenamed("to", "root")
 
 
-def components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the class) for each row of (doc_id, text)."""
+def classed(docs: DataFrame, k: int, radius: int, digests: bool) -> DataFrame:
+    """The rows of ``fingerprints`` with ``own`` (doc_id, NULL_ID for none; with ``digests`` the pair of it and the digest)
+    and ``component``, the smallest ``own`` of the class."""
     if radius % 2:
         raise ValueError("the radius must be even")
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(docs, k), "fingerprints")
-    distinct = scratch.write(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least")), "distinct")
+    marked = scratch.write(fingerprints(docs, k, digests), "fingerprints")
+    own = F.coalesce("doc_id", F.lit(NULL_ID))
+    own = F.struct(own.alias("id"), "digest") if digests else own
+    distinct = scratch.write(marked.groupBy("fp").agg(F.min(own).alias("least")), "distinct")
     scratch.free()
     found = scratch.write(links(distinct, leading_bits(distinct.count(), radius), radius), "links")
     roots = contract(found, scratch)
@@ -205,17 +210,27 @@ def components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataF
         classed = inside.join(least, "root").select(F.col("fp").alias("_fp"), "component")
         known = distinct.join(classed, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("component", "least").alias("component"))
     known = scratch.write(known, "classes")
+    return marked.join(known, "fp").withColumn("own", own)
+
+
+def components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the class) for each row of (doc_id, text)."""
     component = F.when(F.col("component") != NULL_ID, F.col("component"))
-    return marked.join(known, "fp").select("doc_id", "fp", component.alias("component_id"))
+    return classed(docs, k, radius, False).select("doc_id", "fp", component.alias("component_id"))
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each class stays, the one with the smallest doc_id; columns as in ``docs``.
+    """One document of each class stays, the one with the smallest doc_id, or of several texts with it that with the
+    smallest digest; columns as in ``docs``.
 
-    Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
+    Rows with one doc_id and one text are one document and stay or go together; of those without a doc_id one stays.
     """
-    gone = components(docs, k, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_colloquy_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_colloquy_gone"), "left_anti")
+    kept = classed(docs, k, radius, True).filter("own = component").select(F.col("own.id").alias("_colloquy_id"), F.col("own.digest").alias("_colloquy_own")).distinct()
+    marked = docs.withColumn("_colloquy_digest", text_digest())
+    stays = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("_colloquy_id")) & (F.col("_colloquy_digest") == F.col("_colloquy_own"))
+    out = marked.join(kept, stays, "left_semi")
+    nameless = marked.filter("doc_id is null").join(kept, stays, "left_semi").dropDuplicates(["_colloquy_digest"])
+    return out.filter("doc_id is not null").union(nameless).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import flat, joined, mix, run_hashes, slices, sliding, span_hashes, spaced_words
-from .shared import Scratch, has
+from .shared import Scratch, has, text_digest
 
 WINDOW = 20
 #: Windows in one row at most: bits of a mask.
@@ -55,7 +55,11 @@ def representatives(words: np.ndarray, row: np.ndarray, window: int) -> tuple[np
 
 
 def scan(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, key, sha256 of the words, anchors: representatives at half length, once for each position."""
+    """doc_id, n_words, key, sha256 of the words, anchors: representatives at half length, once for each position.
+
+    A column ``digest``, if there, is passed through.
+    """
+    more = "digest" in docs.columns
 
     def run(batches):
         for batch in batches:
@@ -79,11 +83,12 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
                         pa.array([key_of(d.digest()) for d in digests], pa.int64()),
                         pa.array([d.hexdigest() for d in digests], pa.string()),
                         anchors,
+                        *([part.column("digest")] if more else []),
                     ],
-                    ["doc_id", "n_words", "key", "sha256", "anchors"],
+                    ["doc_id", "n_words", "key", "sha256", "anchors", *["digest"] * more],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, key long, sha256 string, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, key long, sha256 string, anchors array<long>" + ", digest binary" * more)
 
 
 def stretches(docs: DataFrame, window: int, rows: int = DEAL) -> DataFrame:
@@ -235,13 +240,13 @@ def cut(docs: DataFrame, window: int, texts: bool) -> DataFrame:
 def removals(docs: DataFrame, window: int = WINDOW, texts: bool = False, deal: int = DEAL) -> DataFrame:
     """doc_id, n_words, n_removed, sha256, and ``kept``: null where nothing is removed, else the kept words joined by a space.
 
-    One row for each row of ``docs``; ``kept`` only with ``texts``; sha256 is of the kept words joined by one space.
+    One row for each row of ``docs``; ``kept`` and ``digest`` (of the row's text) only with ``texts``; sha256 is of the kept words joined by one space.
     """
     has(docs, "doc_id", "text")
     if window < 2 or window % 2:
         raise ValueError("the window must be even")
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", *[text_digest().alias("digest")] * texts)
     scanned = scratch.write(scan(docs, window), "scan")
     first = scratch.write(scanned.groupBy("sha256").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "first")
     scratch.free()
@@ -264,7 +269,7 @@ def removals(docs: DataFrame, window: int = WINDOW, texts: bool = False, deal: i
     changed = cut(docs.join(gone, "doc_id").select("doc_id", "text", "gone"), window, texts).filter("n_removed > 0").dropDuplicates(["doc_id", "key"])
     changed = scratch.write(changed.withColumnsRenamed({"doc_id": "_id", "key": "_key", "sha256": "_sha", "n_removed": "_gone"}), "changed")
     scratch.drop(gone)
-    flagged = scanned.select("doc_id", "n_words", "key", "sha256").join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id") == F.col("_first"), "left")
+    flagged = scanned.select("doc_id", "n_words", "key", "sha256", *["digest"] * texts).join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id") == F.col("_first"), "left")
     out = flagged.join(changed, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     copy = F.col("_first").isNull() & (F.col("n_words") >= window)
     columns = {
@@ -274,6 +279,7 @@ def removals(docs: DataFrame, window: int = WINDOW, texts: bool = False, deal: i
         "sha256": F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("_sha", "sha256")),
     }
     if texts:
+        columns["digest"] = F.col("digest")
         columns["kept"] = F.when(copy, F.lit("")).otherwise(F.col("kept"))
     return out.select(*[c.alias(n) for n, c in columns.items()])
 
@@ -282,10 +288,13 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; n_chars, where it is there, is counted anew.
 
     A text that loses nothing stays byte for byte; of one that does, the kept words are joined by one space.  A document
-    of which no word is left goes.  Where doc_id repeats, a row with no cut of its own may get that of its namesake.
+    of which no word is left goes.  Cuts are joined on doc_id and the text's digest, so that rows with one doc_id or with
+    none each get their own.
     """
-    cuts = removals(docs, window, texts=True).filter("n_removed > 0").groupBy(F.col("doc_id").alias("_colloquy_cut")).agg(F.min("kept").alias("_colloquy_kept"))
-    out = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_colloquy_cut")), "left").filter("_colloquy_kept is null or _colloquy_kept <> ''")
+    cuts = removals(docs, window, texts=True).filter("n_removed > 0")
+    cuts = cuts.groupBy(F.col("doc_id").alias("_colloquy_cut"), F.col("digest").alias("_colloquy_digest")).agg(F.min("kept").alias("_colloquy_kept"))
+    own = F.col("doc_id").eqNullSafe(F.col("_colloquy_cut")) & (text_digest() == F.col("_colloquy_digest"))
+    out = docs.join(cuts, own, "left").filter("_colloquy_kept is null or _colloquy_kept <> ''")
     text = F.coalesce("_colloquy_kept", "text")
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:

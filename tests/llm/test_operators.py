@@ -268,6 +268,19 @@ def test_mixing_matches_sql(spark, tmp_path):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
 
 
+def test_stages_tell_rows_with_one_id_apart(spark):
+    a, b, c, d, e = (passage(900 + i, 60) for i in range(5))
+    rows = [(1, a, "en", "s"), (None, a, "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (None, c, "en", "t"), (7, a, "en", "s"), (7, d, "en", "t"), (8, e, "en", "s")]
+    docs = frame(spark, rows)
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.dedup(docs, 4, 4).collect())
+    assert kept == sorted([(1, a), (0, b), (0, c), (7, d), (8, e)])
+    tail = passage(990, 25)
+    got = Counter((r.doc_id, r.text) for r in substring.dedup(frame(spark, [(None, a, "en", "s"), (None, b + " " + tail, "en", "s"), (3, tail + " x", "en", "s"), (4, a, "en", "s"), (4, c, "en", "s"), (5, d, "en", "s"), (5, d + " y", "en", "s")]), 20).collect())
+    assert got[(None, a)] == 1 and got[(None, b + " " + tail)] == 1 and got[(3, "x")] == 1 and got[(4, c)] == 1 and (4, a) not in got and got[(5, d)] + got[(5, d + " y")] >= 1
+    docs = frame(spark, [(None if i % 2 else 5, passage(2000 + i, 50), "en", "s" + str(i % 3)) for i in range(90)])
+    assert mixing.mix(docs).count() == sum(r.copies for r in mixing.copies(docs).collect())
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6) * (rng.random(6) < 0.7)]) for i in range(120)]
