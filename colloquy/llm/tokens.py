@@ -9,6 +9,7 @@ tokenizers library.  Two kinds of file are known: byte-level BPE whose pre-token
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from functools import cache
 
@@ -83,15 +84,24 @@ def starts(chars: np.ndarray, kinds: np.ndarray, first: np.ndarray, spaced: bool
 
 
 class Encoder:
-    """Encodes text columns with one tokenizer file; ``spaced`` where a space before a word is part of its tokens."""
+    """Encodes text columns with one tokenizer file; ``spaced`` where a space before a word is part of its tokens.
 
-    def __init__(self, path: str, spaced: bool):
+    With ``added``, the file's added tokens are single ids wherever a text holds them, as by the library's default, else
+    their characters are encoded like any others.
+    """
+
+    def __init__(self, path: str, spaced: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.spaced = spaced
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        known = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if odd := [t.content for t in known.values() if t.normalized or t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"added tokens that aren't matched as they are: {odd}")
+        self.added = {t.content.encode(): i for i, t in known.items()}
+        self.marks = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if known else None
         self.alphabet = byte_alphabet()
         self.reset()
 
@@ -105,6 +115,30 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows (as uint16; the vocabularies are below 65,536) and each row's number of ids."""
+        # A match that crosses a row's end may hide one that begins in the next row, so rows are searched by themselves.
+        raw = data.tobytes() if self.marks else b""
+        if not self.marks or not self.marks.search(raw):
+            return self.encode_plain(data, offsets)
+        found = [(i, a + m.start(), a + m.end(), self.added[m[0]]) for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)) for m in self.marks.finditer(raw[a:b])]
+        if not found:
+            return self.encode_plain(data, offsets)
+        row, start, end, added = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        # Texts between added tokens are rows of their own, and so are the added tokens, which lose their bytes.
+        bounds = np.sort(np.concatenate([offsets, start, end]), kind="stable")
+        token = np.searchsorted(bounds, start, "right") - 1
+        sizes = np.diff(bounds)
+        keep = np.ones(len(sizes), bool)
+        keep[token] = False
+        ids, counts = self.encode_plain(data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(np.where(keep, sizes, 0))]))
+        place = np.cumsum(counts)[token]
+        # A piece without bytes has no ids, so its row doesn't matter.
+        owner = np.searchsorted(offsets, bounds[:-1], "right") - 1
+        used = counts > 0
+        totals = np.bincount(owner[used], counts[used], len(offsets) - 1).astype(np.int64) + np.bincount(row, minlength=len(offsets) - 1)
+        return np.insert(ids, place, added.astype(np.uint16)), totals
+
+    def encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with no regard to added tokens."""
         rows = len(offsets) - 1
         wide = bool((data >= 0x80).any())
         if not self.spaced:
@@ -211,9 +245,9 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """This worker's encoder for a file; kept from task to task."""
+    """This worker's encoder for a file, with its added tokens; kept from task to task."""
     if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
+        _encoders[path, spaced] = Encoder(path, spaced, added=True)
     return _encoders[path, spaced]
 
 

@@ -133,6 +133,21 @@ def test_tokens_equal_the_library():
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [plain.encode(r, add_special_tokens=False).ids for r in rows]
 
 
+def test_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|", "|>", "'s", "'", " ", "\n", "a", "B", "é", "́", "漢", "1", "x" * 300]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        default, tool = Tokenizer.from_file(tokenizer_path(name)), encoder(tokenizer_path(name), spaced)
+        rows = ["".join(rng.choice(bits) for _ in range(rng.randrange(8))) for _ in range(1500)] + ["a <|endoftext|> b", "", "<|endoftext|>", "<|endof", "text|>", "<|endoftext|", "<|endoftext|>"]
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
+        ids, sizes = tool.encode(data, offsets)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [default.encode(r, add_special_tokens=False).ids for r in rows]
+
+
 def plain_ids(name):
     from tokenizers import Tokenizer
 
