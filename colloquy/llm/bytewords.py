@@ -1,7 +1,7 @@
 """Words and their hashes over Arrow string buffers, without a Python object for each word.
 
-A text column's bytes are one flat array; words are spans of it.  A span's hash is a polynomial over its bytes modulo
-2**64, read off prefix sums, then mixed.  All functions work on slices of a few MB so that memory stays bounded.
+A text column's bytes are one flat array; words are spans of it.  A span's hash takes its bytes eight at a time, for all
+spans side by side.  All functions work on slices of a few MB so that memory stays bounded.
 """
 
 from __future__ import annotations
@@ -11,38 +11,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once.
 SLICE = 2 << 20
 
-#: Odd multipliers of the polynomials, and those of the 64-bit finaliser.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Odd multipliers for sequences of words and those of the 64-bit finaliser.
+WORD_BASE = 0xC2B2AE3D27D4EB4F
 MIX_A, MIX_B = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 256
 
 #: True for space, tab, line feed, vertical tab, form feed and carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Masks of the first 0 to 8 bytes of eight.
+TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 #: A-Z to a-z, all else unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 12, 1 << (n - 1).bit_length())
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= SLICE:
-            _powers[base] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -92,32 +83,47 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; spans are in order and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, "right")))
-        base = start[i]
-        part = data[base : end[j - 1]]
-        up, down = powers(BYTE_BASE, len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        i = j
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; different seeds give independent ones.
+
+    Eight bytes at a time go through the finaliser, so that spans of one length up to eight bytes never collide, and
+    longer ones by chance alone.  Spans beyond ``LONG_SPAN`` bytes are digested by XXH3.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64((seed + 1) * MIX_B % (1 << 64)))
+    if not len(start):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    for at in range(0, LONG_SPAN, 8):
+        if not len(left):
+            break
+        some = eight[start[left] + at]
+        some &= TAIL[np.minimum(size[left] - at, 8)]
+        out[left] = mix((out[left] ^ some) + np.uint64(at + 1))
+        left = left[size[left] > at + 8]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
     return out
 
 
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ordered pair of hashes; with one of them fixed, different others never collide."""
+    return mix(a * np.uint64(WORD_BASE) + mix(b ^ np.uint64(MIX_A)))
+
+
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k consecutive word hashes."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """A 64-bit hash of each k consecutive hashes: the first half's and the second half's, as a pair."""
+    if len(words) < k:
         return np.zeros(0, np.uint64)
-    up, down = powers(WORD_BASE, len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[:n] + np.uint64(k))
+    if k == 1:
+        return words
+    half = k // 2
+    front = run_hashes(words, k - half)
+    back = front if 2 * half == k else run_hashes(words, half)
+    n = len(words) - k + 1
+    return pair_hashes(front[:n], back[k - half :][:n])
 
 
 def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:

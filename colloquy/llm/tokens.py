@@ -4,6 +4,10 @@ Texts are cut into pre-tokens on whole arrays of characters, by the rules that t
 is looked up by hash in a table that a worker keeps from task to task, and only those not in it go to the model of the
 tokenizers library.  Two kinds of file are known: byte-level BPE whose pre-tokens take a leading space along
 (``spaced``), and BPE over composed, lower-cased text without white space.
+
+Texts of any length and any number of distinct pre-tokens take bounded room beyond their own bytes: a long text is worked
+through in parts that begin where a word follows a space, which no pre-token crosses, and pre-tokens are looked up ``GROUP``
+at a time, so that the table is never more than half full.
 """
 
 from __future__ import annotations
@@ -17,14 +21,20 @@ import numpy as np
 
 from .bytewords import LOWER, flat, slices, span_hashes
 
-#: Pre-tokens that a worker keeps (about 40 bytes each); the table starts afresh beyond it.
+#: Pre-tokens that a worker keeps (about 40 bytes each), in so many slots; the table starts afresh beyond it.
 KEPT = 1_000_000
 SLOTS = 1 << 21
+#: Pre-tokens that are looked up at once, at most KEPT, and bytes of text that are cut into pre-tokens at once, about.
+GROUP, PART = 1 << 18, 4 << 20
 #: Bytes of a pre-token that is kept; longer ones go to the model each time.
 LONG = 256
 #: What may follow an apostrophe to make a pre-token with it.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: ASCII letters; letters and digits.
+LETTER_BYTE, WORD_BYTE = np.zeros(256, bool), np.zeros(256, bool)
+LETTER_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 @cache
@@ -83,6 +93,20 @@ def starts(chars: np.ndarray, kinds: np.ndarray, first: np.ndarray, spaced: bool
     return begin
 
 
+def word_starts(data: np.ndarray, step: int) -> list[int]:
+    """Places, ``step`` bytes apart or more, of a space between a letter or digit and a letter: pre-tokens begin there."""
+    cuts, at = [], step
+    while at < len(data) - 1:
+        some = data[at - 1 : at + (1 << 16) + 1]
+        here = np.flatnonzero((some[1:-1] == 0x20) & WORD_BYTE[some[:-2]] & LETTER_BYTE[some[2:]])
+        if len(here):
+            cuts.append(at + int(here[0]))
+            at = cuts[-1] + step
+        else:
+            at += 1 << 16
+    return cuts
+
+
 class Encoder:
     """Encodes text columns with one tokenizer file; ``spaced`` where a space before a word is part of its tokens.
 
@@ -139,6 +163,19 @@ class Encoder:
 
     def encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, with no regard to added tokens."""
+        if len(data) <= 2 * PART:
+            return self.encode_part(data, offsets)
+        cuts = word_starts(data, PART)
+        out, sizes = [], np.zeros(len(offsets) - 1, np.int64)
+        for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True):
+            first, last = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
+            first, last = min(first, len(sizes) - 1), max(last, first + 1)
+            ids, some = self.encode_part(data[a:b], np.clip(offsets[first : last + 1], a, b) - a)
+            out.append(ids)
+            sizes[first:last] += some
+        return np.concatenate(out), sizes
+
+    def encode_part(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         wide = bool((data >= 0x80).any())
         if not self.spaced:
@@ -168,39 +205,49 @@ class Encoder:
         if not self.spaced:
             begin, end = begin[~blank], end[~blank]
         row = np.searchsorted(offsets, begin, "right") - 1
+        out, sizes = [], np.zeros(len(begin), np.int64)
+        for at in range(0, len(begin), GROUP):
+            ids, sizes[at : at + GROUP] = self.look_up(data, begin[at : at + GROUP], end[at : at + GROUP])
+            out.append(ids)
+        return np.concatenate(out) if out else np.zeros(0, np.uint16), np.bincount(row, sizes, rows).astype(np.int64)
+
+    def look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of at most GROUP pre-tokens, and how many each has."""
         place, own = self.places(data, begin, end)
         sizes = self.size[place].astype(np.int64)
         for i, ids in own.items():
             sizes[i] = len(ids)
         to = np.cumsum(sizes)
         source = self.at[place] - (to - sizes)
-        out = self.ids[np.repeat(source, sizes) + np.arange(int(sizes.sum()))] if not own else np.zeros(int(sizes.sum()), np.uint16)
-        if own:
-            kept = np.ones(len(begin), bool)
-            kept[list(own)] = False
-            at = np.flatnonzero(np.repeat(kept, sizes))
-            out[at] = self.ids[np.repeat(source[kept], sizes[kept]) + at]
-            for i, ids in own.items():
-                out[to[i] - sizes[i] : to[i]] = ids
-        return out, np.bincount(row, sizes, rows).astype(np.int64)
+        if not own:
+            return self.ids[np.repeat(source, sizes) + np.arange(int(sizes.sum()))], sizes
+        out = np.zeros(int(sizes.sum()), np.uint16)
+        kept = np.ones(len(begin), bool)
+        kept[list(own)] = False
+        at = np.flatnonzero(np.repeat(kept, sizes))
+        out[at] = self.ids[np.repeat(source[kept], sizes[kept]) + at]
+        for i, ids in own.items():
+            out[to[i] - sizes[i] : to[i]] = ids
+        return out, sizes
 
     def places(self, data, begin, end) -> tuple[np.ndarray, dict[int, list[int]]]:
         """Each pre-token's place in the table, and the ids of those that are too long for it."""
         hashes = span_hashes(data, begin, end)
         hashes[hashes == 0] = 1
         long = np.flatnonzero(end - begin > LONG)
+        hashes[long] = 1  # not in the table, and not to be
         place = self.find(hashes)
+        place[long] = 0
         missing = np.flatnonzero(place < 0)
         if len(missing):
             new = missing[np.unique(hashes[missing], return_index=True)[1]]
-            if self.count + len(new) > KEPT and self.count:
+            if self.count + len(new) > KEPT:
                 self.reset()
                 new = np.unique(hashes, return_index=True)[1]
-            new = new[end[new] - begin[new] <= LONG]
-            raw = data.tobytes()
-            self.learn(hashes[new], [self.pretoken(raw[a:b]) for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+                new = new[end[new] - begin[new] <= LONG]
+            self.learn(hashes[new], [self.pretoken(data[a:b].tobytes()) for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
             place = self.find(hashes)
-        place[long] = 0
+            place[long] = 0
         return place, {int(i): self.pretoken(data[begin[i] : end[i]].tobytes()) for i in long}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
