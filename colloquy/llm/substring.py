@@ -1,305 +1,272 @@
 """Exact substring deduplication by level-wise doubling.
 
 A word is removed if a window of ``window`` consecutive words covers it whose word sequence also starts earlier (in a
-document with a smaller doc_id, or earlier in the same one).  Levels: sequences of half the window's length are counted
-first; only windows around sequences that are repeated at that length are extended to twice it, and those that are
-repeated at the full length decide.  A window needs one repeated half only, so each stands for itself by the half-length
-sequence in it with the smallest hash: equal windows have equal representatives, and neighbouring windows share theirs, so
-level one counts about a sixth of all positions.
-
-Scale: a text is read for level one, again for the windows that survive it (shuffled by doc_id), and again for documents
-that lose words.  Whole copies of an earlier document are settled by their digest.  Surviving windows travel as arrays, one
-for each stretch with one representative, and are compared in the task of the representative.  A representative that is
-very common is dealt to several tasks: what isn't first in its task isn't first at all, and the firsts of the tasks meet
-once more, by window.
-
-Hashes: 64 bits for the representative and 64 for the window, both compared.
-
-Defined cases: a null text has no words; a null doc_id comes before all others; two rows with one doc_id are ordered by
-the digest of their words, and equal rows are one document (both keep the same words); documents shorter than a window
-keep everything; an empty table gives an empty one; other input columns pass through ``dedup`` unchanged.
+document with a smaller doc_id, or earlier in the same one).  Levels: the sequences of a base length are counted at every
+position, and those that are repeated alone are extended to twice that length and counted again, until the window's
+length is reached or no candidate survives (20 words: 5, 10, 20).  A level keeps the stretches in which every sequence of its
+length is repeated, if they are as long as a window.  At the last level the first place of each window decides.
+
+Scale: see ``exchange``: a level shuffles four bytes for each distinct sequence of a unit, and bits come back; each level
+sends what the one before it has left.  Texts are copied once, into units, and joined to the first level's replies and
+to the final cuts by unit.  Nothing is keyed by a document, a passage or a window, so no group of copies meets in one task.
+
+Hashes: the levels before the last only leave out what can't be repeated, so their four bytes and a bucket's leading bits
+lose nothing by a collision.  The last compares two independent 64-bit hashes.
+
+Defined cases: a null text has no words; a null doc_id comes before all others; rows with one doc_id are ordered by a hash of
+their words, and rows equal in both are one document (they keep the same words); documents shorter than a window keep
+everything; an empty table gives an empty one; other input columns pass through ``dedup`` unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .bytewords import flat, joined, mix, run_hashes, slices, sliding, span_hashes, spaced_words
-from .shared import Scratch, has, text_digest
+from .bytewords import flat, joined, run_hashes, span_hashes, spaced_words
+from .exchange import bucket_bits, cuts, exchanged, masked, packed, repeated_in_bucket, replies_of, units, unpacked
+from .shared import Scratch, has
 
 WINDOW = 20
-#: Windows in one row at most: bits of a mask.
-STRETCH = 32
-#: Rows of one representative to each task, about.
-DEAL = 1000
+#: The base length is the window's, halved while that is even and this long at least.
+LEAST = 5
+#: Comes before every doc_id.
 NULL_ID = -(1 << 63)
-NOTHING = hashlib.sha256(b"").hexdigest()
+SECOND = 1
+OUTPUT = [StructField("_colloquy_words", LongType()), StructField("_colloquy_removed", LongType()), StructField("_colloquy_sha", StringType()), StructField("_colloquy_kept", StringType())]
+
+
+def levels(window: int) -> list[int]:
+    """Lengths from the base to the window, each twice the one before."""
+    out = [window]
+    while out[0] % 2 == 0 and out[0] // 2 >= LEAST:
+        out.insert(0, out[0] // 2)
+    return out
+
+
+class Stretches(NamedTuple):
+    """Stretches of a unit's words; one row each, and their words one after the other."""
+
+    at: np.ndarray  # the first word's number in the unit
+    lo: np.ndarray  # and in its document
+    doc: np.ndarray
+    key: np.ndarray  # a hash of the document's words
+    size: np.ndarray
+    words: np.ndarray  # two hashes of each word
+    seconds: np.ndarray
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
+
+    def body(self) -> bytes:
+        return packed(pa.RecordBatch.from_arrays([*(pa.array(x) for x in self[:5]), *(pa.array([x.tobytes()] + [None] * (len(self.size) - 1), pa.binary()) for x in self[5:])], list(self._fields)))
+
+
+def whole(body: bytes) -> Stretches:
+    """A unit's documents."""
+    part = unpacked(body)
+    data, at = flat(part.column("text"))
+    start, end, row = spaced_words(data, at)
+    words = span_hashes(data, start, end)
+    size = np.bincount(row, minlength=part.num_rows)
+    first = np.cumsum(size) - size
+    key = np.array([xxhash.xxh3_64_intdigest(words[a : a + n].tobytes()) for a, n in zip(first.tolist(), size.tolist(), strict=True)], np.uint64).view(np.int64)
+    return Stretches(first, np.zeros(len(size), np.int64), np.asarray(part.column("doc_id").fill_null(NULL_ID)).astype(np.int64), key, size, words, span_hashes(data, start, end, SECOND))
+
+
+def stretches(body: bytes) -> Stretches:
+    part = unpacked(body)
+    return Stretches(*(np.asarray(part.column(n)) for n in Stretches._fields[:5]), *(np.frombuffer(part.column(n)[0].as_buffer(), np.uint64) for n in Stretches._fields[5:]))
+
+
+def sequences(s: Stretches, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the sequences of so many words inside a stretch, and their hashes."""
+    row = s.row()
+    at = np.flatnonzero(row[: max(0, len(row) - length + 1)] == row[length - 1 :])
+    return at, run_hashes(s.words, length)[at]
+
+
+def narrowed(s: Stretches, at: np.ndarray, repeated: np.ndarray, length: int, window: int) -> Stretches | None:
+    """The stretches, as long as a window at least, all of whose sequences of this length are repeated."""
+    row = s.row()
+    at = at[repeated]
+    if not len(at):
+        return None
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(at))) + length - 1
+    begin, size = at[begin][size >= window], size[size >= window]
+    if not len(begin):
+        return None
+    of = row[begin]
+    inside = begin - (np.cumsum(s.size) - s.size)[of]
+    words = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return Stretches(s.at[of] + inside, s.lo[of] + inside, s.doc[of], s.key[of], size, s.words[words], s.seconds[words])
+
+
+def level(made: DataFrame, opened, length: int, window: int, bits: int) -> DataFrame:
+    """unit, body: what is left of each unit's stretches at this length."""
+
+    def send(body):
+        _, keys = sequences(opened(body), length)
+        keys = np.unique(keys)
+        short = (keys << np.uint64(bits) >> np.uint64(32)).astype("<u4")
+        return [(bucket, short[a:b].tobytes()) for bucket, a, b in cuts(keys, bits)]
 
+    def run(batches):
+        for batch in batches:
+            for unit, body, replies in zip(batch.column("unit").to_pylist(), batch.column("body"), batch.column("replies"), strict=True):
+                s = opened(body.as_py())
+                at, hashes = sequences(s, length)
+                keys, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+                left = narrowed(s, at, ((counts > 1) | masked(keys, bits, replies_of(replies)))[place], length, window)
+                if left is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([left.body()], pa.binary())], ["unit", "body"])
 
-def key_of(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+    replied = exchanged(made, send, repeated_in_bucket)
+    return made.select("unit", "body").join(replied, "unit", "left").mapInArrow(run, "unit long, body binary")
 
 
-def representatives(words: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all words of some rows: hashes at half length, each window's representative, and which windows are in one row."""
-    half = window // 2
-    halves = run_hashes(words, half)
-    chosen = sliding(halves, window - half + 1, np.minimum)
-    n = max(0, len(words) - window + 1)
-    return halves, chosen[:n], row[:n] == row[window - 1 :][:n]
+ENTRY = np.dtype([("first", "<u8"), ("second", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i4")])
 
 
-def scan(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, key, sha256 of the words, anchors: representatives at half length, once for each position.
+def windows(s: Stretches, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The unit's windows in order of hashes and place: their words' places and entries; each one's group; which begin one."""
+    at, hashes = sequences(s, window)
+    row = s.row()[at]
+    entries = np.empty(len(at), ENTRY)
+    entries["first"], entries["second"] = hashes, run_hashes(s.seconds, window)[at]
+    entries["doc"], entries["key"] = s.doc[row], s.key[row]
+    entries["lo"] = s.lo[row] + at - (np.cumsum(s.size) - s.size)[row]
+    order = np.lexsort((entries["lo"], entries["key"], entries["doc"], entries["second"], entries["first"]))
+    at, entries = at[order], entries[order]
+    head = np.ones(len(at), bool)
+    head[1:] = (entries["first"][1:] != entries["first"][:-1]) | (entries["second"][1:] != entries["second"][:-1])
+    return at, entries, np.cumsum(head) - 1, np.flatnonzero(head)
 
-    A column ``digest``, if there, is passed through.
-    """
-    more = "digest" in docs.columns
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, at = flat(part.column("text"))
-                start, end, row = spaced_words(data, at)
-                text, ends = joined(data, start, end, row, part.num_rows)
-                text = text.tobytes()
-                digests = [hashlib.sha256(text[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-                halves, chosen, inside = representatives(span_hashes(data, start, end), row, window)
-                reach = window - window // 2
-                padded = np.concatenate([np.zeros(reach, np.uint64), np.where(inside, chosen, np.uint64(0)), np.zeros(reach, np.uint64)])
-                anchor = np.flatnonzero(sliding(padded, reach + 1, np.maximum)[: len(halves)] == halves) if len(chosen) else np.zeros(0, np.int64)
-                owner = row[anchor]
-                counts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))]).astype(np.int32)
-                anchors = pa.ListArray.from_arrays(pa.array(counts), pa.array(halves[anchor].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64)),
-                        pa.array([key_of(d.digest()) for d in digests], pa.int64()),
-                        pa.array([d.hexdigest() for d in digests], pa.string()),
-                        anchors,
-                        *([part.column("digest")] if more else []),
-                    ],
-                    ["doc_id", "n_words", "key", "sha256", "anchors", *["digest"] * more],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, key long, sha256 string, anchors array<long>" + ", digest binary" * more)
-
-
-def stretches(docs: DataFrame, window: int, rows: int = DEAL) -> DataFrame:
-    """Windows whose representative is repeated, in arrays of consecutive ones with one representative.
-
-    ``docs``: doc_id, text, repeated (array of (anchor, n)).  The stretches of an anchor that
-    more than ``rows`` places have are dealt out: each gets one of several ``deal``.
-    """
+def same_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["doc"] == b["doc"]) & (a["key"] == b["key"]) & (a["lo"] == b["lo"])
+
+
+def later_in_bucket(messages: list[bytes], senders: list[int]) -> list[bytes | None]:
+    """Which of the windows sent (each unit's first of its kind) aren't the first of all."""
+    parts = [np.frombuffer(m, ENTRY) for m in messages]
+    every = np.concatenate(parts)
+    order = np.lexsort((every["lo"], every["key"], every["doc"], every["second"], every["first"]))
+    ordered = every[order]
+    head = np.ones(len(every), bool)
+    head[1:] = (ordered["first"][1:] != ordered["first"][:-1]) | (ordered["second"][1:] != ordered["second"][:-1])
+    flag = np.zeros(len(every), bool)
+    flag[order] = ~same_place(ordered, ordered[np.flatnonzero(head)[np.cumsum(head) - 1]])
+    return [np.packbits(f).tobytes() if f.any() else None for f in np.split(flag, np.cumsum([len(p) for p in parts])[:-1])]
+
+
+def decided(made: DataFrame, opened, window: int, bits: int) -> DataFrame:
+    """unit, gone: numbers of the unit's words at which windows begin that start earlier elsewhere."""
+
+    def send(body):
+        _, entries, _, head = windows(opened(body), window)
+        entries = entries[head]
+        return [(bucket, entries[a:b].tobytes()) for bucket, a, b in cuts(entries["first"], bits)]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                data, at = flat(part.column("text"))
-                start, end, row = spaced_words(data, at)
-                text, ends = joined(data, start, end, row, part.num_rows)
-                text = text.tobytes()
-                keys = np.array([key_of(hashlib.sha256(text[a:b]).digest()) for a, b in zip(ends, ends[1:], strict=False)], np.int64)
-                words = span_hashes(data, start, end)
-                _, chosen, inside = representatives(words, row, window)
-                known = part.column("repeated")
-                lists = known.flatten()
-                anchors = np.asarray(lists.field("anchor")).astype(np.int64).view(np.uint64)
-                owners = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(known.offsets)))
-                own = mix(np.arange(part.num_rows).astype(np.uint64) + np.uint64(1))
-                tagged = anchors ^ own[owners]
-                order = np.argsort(tagged)
-                tagged, counts = tagged[order], np.asarray(lists.field("n"))[order]
-                here = chosen ^ own[row[: len(chosen)]]
-                found = np.minimum(np.searchsorted(tagged, here), max(0, len(tagged) - 1))
-                alive = inside & (tagged[found] == here) if len(tagged) else np.zeros(len(here), bool)
-                starts = np.flatnonzero(alive)
-                if not len(starts):
-                    continue
-                wholes = run_hashes(words, window)[starts]
-                first_word = np.searchsorted(row, np.arange(part.num_rows))
-                new = np.ones(len(starts), bool)
-                new[1:] = (np.diff(starts) != 1) | (here[starts[1:]] != here[starts[:-1]])
-                begun = np.flatnonzero(new)
-                place = np.arange(len(starts)) - np.repeat(begun, np.diff(np.append(begun, len(starts))))
-                head = np.flatnonzero(place % STRETCH == 0)
-                at_word = starts[head]
-                lo = at_word - first_word[row[at_word]]
-                deals = -(-counts[found[at_word]] // rows)
-                ids = np.asarray(part.column("doc_id"))[row[at_word]]
-                deal = mix(ids.view(np.uint64) * np.uint64(31) + lo.astype(np.uint64)) % deals.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(chosen[at_word].view(np.int64)),
-                        pa.array(np.where(deals > 1, deal.astype(np.int64), -1)),
-                        pa.array(ids),
-                        pa.array(keys[row[at_word]]),
-                        pa.array(lo),
-                        pa.ListArray.from_arrays(pa.array(np.append(head, len(starts)).astype(np.int32)), pa.array(wholes.view(np.int64))),
-                    ],
-                    ["anchor", "deal", "doc_id", "key", "lo", "windows"],
-                )
-
-    return docs.mapInArrow(run, "anchor long, deal long, doc_id long, key long, lo long, windows array<long>")
-
-
-def later(stretched: DataFrame) -> DataFrame:
-    """Which windows aren't the first of theirs among the rows of their task.
-
-    Rows come by anchor and deal.  ``mask`` marks the windows of a stretch that aren't first.  Those that are, in a dealt
-    group, come as rows of their own with ``window`` set, for a last comparison.
-    """
+            for unit, body, replies in zip(batch.column("unit").to_pylist(), batch.column("body"), batch.column("replies"), strict=True):
+                s = opened(body.as_py())
+                at, entries, group, head = windows(s, window)
+                later = masked(entries["first"][head], bits, replies_of(replies))[group] | ~same_place(entries, entries[head][group])
+                row = s.row()[at[later]]
+                gone = np.sort(s.at[row] + at[later] - (np.cumsum(s.size) - s.size)[row])
+                if len(gone):
+                    yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([gone.astype("<i4").tobytes()], pa.binary())], ["unit", "gone"])
+
+    replied = exchanged(made, send, later_in_bucket)
+    return made.select("unit", "body").join(replied, "unit", "left").mapInArrow(run, "unit long, gone binary")
 
-    def run(batches):
-        got = [pa.Table.from_batches([b]) for b in batches]
-        if not got:
-            return
-        table = pa.concat_tables(got).combine_chunks()
-        if not table.num_rows:
-            return
-        table = table.to_batches()[0]
-        anchor, deal, doc, key, lo = (np.asarray(table.column(c)) for c in ("anchor", "deal", "doc_id", "key", "lo"))
-        lists = table.column("windows")
-        lengths = np.diff(np.asarray(lists.offsets))
-        value = np.asarray(lists.flatten())
-        owner = np.repeat(np.arange(len(anchor)), lengths)
-        place = np.arange(len(value)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        start = lo[owner] + place
-        order = np.lexsort((start, key[owner], doc[owner], value, deal[owner], anchor[owner]))
-        o, v, s = owner[order], value[order], start[order]
-        group = np.ones(len(o), bool)
-        group[1:] = (v[1:] != v[:-1]) | (anchor[o[1:]] != anchor[o[:-1]]) | (deal[o[1:]] != deal[o[:-1]])
-        number = np.cumsum(group) - 1
-        head = np.flatnonzero(group)[number]
-        first = (doc[o] == doc[o[head]]) & (key[o] == key[o[head]]) & (s == s[head])
-        masks = np.zeros(len(anchor), np.int64)
-        np.bitwise_or.at(masks, o[~first], np.int64(1) << place[order][~first])
-        hit = np.flatnonzero(masks)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[hit]), pa.array(key[hit]), pa.array(lo[hit]), pa.array(masks[hit]), pa.nulls(len(hit), pa.int64()), pa.nulls(len(hit), pa.int64())],
-            ["doc_id", "key", "lo", "mask", "anchor", "window"],
-        )
-        again = np.flatnonzero(first & (deal[o] >= 0))
-        w = o[again]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[w]), pa.array(key[w]), pa.array(s[again]), pa.nulls(len(w), pa.int64()), pa.array(anchor[w]), pa.array(v[again])],
-            ["doc_id", "key", "lo", "mask", "anchor", "window"],
-        )
-
-    return stretched.mapInArrow(run, "doc_id long, key long, lo long, mask long, anchor long, window long")
-
-
-def cut(docs: DataFrame, window: int, texts: bool) -> DataFrame:
-    """doc_id, key, n_removed, sha256 of what is kept (and the text) for rows of (doc_id, text, gone: array of (key, lo, mask))."""
+
+def cut(rows: DataFrame, schema: StructType, window: int) -> DataFrame:
+    """The units' rows with OUTPUT: number of words, of words removed, digest of the kept ones, and these if any was removed."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for body, gone in zip(batch.column("body"), batch.column("gone"), strict=True):
+                part = unpacked(body.as_py())
                 data, at = flat(part.column("text"))
                 start, end, row = spaced_words(data, at)
-                text, ends = joined(data, start, end, row, part.num_rows)
-                text = text.tobytes()
-                keys = np.array([key_of(hashlib.sha256(text[a:b]).digest()) for a, b in zip(ends, ends[1:], strict=False)], np.int64)
-                gone = part.column("gone")
-                lists = gone.flatten()
-                owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(gone.offsets)))
-                key, lo, mask = (np.asarray(lists.field(c)) for c in ("key", "lo", "mask"))
-                mine = key == keys[owner]
-                owner, lo, mask = owner[mine], lo[mine], mask[mine]
-                first_word = np.searchsorted(row, np.arange(part.num_rows))
                 marks = np.zeros(len(start) + 1, np.int64)
-                for bit in range(STRETCH):
-                    on = np.flatnonzero(mask >> bit & 1)
-                    begin = first_word[owner[on]] + lo[on] + bit
+                if gone.is_valid:
+                    begin = np.frombuffer(gone.as_buffer(), "<i4")
                     np.add.at(marks, begin, 1)
                     np.add.at(marks, begin + window, -1)
                 kept = np.cumsum(marks)[:-1] == 0
                 out, ends = joined(data, start[kept], end[kept], row[kept], part.num_rows)
                 out = out.tobytes()
                 pieces = [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                removed = np.bincount(row[~kept], minlength=part.num_rows)
                 columns = [
-                    part.column("doc_id"),
-                    pa.array(keys),
-                    pa.array(np.bincount(row[~kept], minlength=part.num_rows).astype(np.int64)),
+                    pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64)),
+                    pa.array(removed.astype(np.int64)),
                     pa.array([hashlib.sha256(p).hexdigest() for p in pieces], pa.string()),
+                    pa.array([p.decode() if n else None for p, n in zip(pieces, removed.tolist(), strict=True)], pa.string()),
                 ]
-                names = ["doc_id", "key", "n_removed", "sha256"]
-                if texts:
-                    columns, names = [*columns, pa.array(pieces, pa.binary()).cast(pa.string())], [*names, "kept"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.mapInArrow(run, "doc_id long, key long, n_removed long, sha256 string" + ", kept string" * texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *(f.name for f in OUTPUT)])
 
+    return rows.mapInArrow(run, StructType([*schema.fields, *OUTPUT]))
 
-def removals(docs: DataFrame, window: int = WINDOW, texts: bool = False, deal: int = DEAL) -> DataFrame:
-    """doc_id, n_words, n_removed, sha256, and ``kept``: null where nothing is removed, else the kept words joined by a space.
 
-    One row for each row of ``docs``; ``kept`` and ``digest`` (of the row's text) only with ``texts``; sha256 is of the kept words joined by one space.
-    """
+def marked(docs: DataFrame, window: int) -> DataFrame:
+    """``docs`` (doc_id a long) with OUTPUT."""
     has(docs, "doc_id", "text")
-    if window < 2 or window % 2:
-        raise ValueError("the window must be even")
+    if window < 1:
+        raise ValueError("a window has a word at least")
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", *[text_digest().alias("digest")] * texts)
-    scanned = scratch.write(scan(docs, window), "scan")
-    first = scratch.write(scanned.groupBy("sha256").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "first")
-    scratch.free()
-    anchors = scanned.join(first, "doc_id", "left_semi").select("doc_id", "anchors")
-    anchors = scratch.write(anchors.select("doc_id", F.explode("anchors").alias("anchor")), "anchors")
-    repeated = scratch.write(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
-    scratch.free()
-    by_doc = anchors.join(repeated, "anchor")
-    by_doc = scratch.write(by_doc.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "n")).alias("repeated")), "survivors")
-    scratch.drop(anchors, repeated)
-    extended = scratch.write(stretches(docs.join(by_doc, "doc_id").select("doc_id", "text", "repeated"), window, deal), "stretches")
-    scratch.drop(by_doc)
-    seen = scratch.write(later(extended.repartition("anchor", "deal")), "seen")
-    scratch.drop(extended)
-    dealt = seen.filter("window is not null").repartition("anchor", "window")
-    last = later(dealt.select("anchor", F.lit(-1).cast("long").alias("deal"), "doc_id", "key", "lo", F.array("window").alias("windows")))
-    gone = seen.filter("window is null").select("doc_id", "key", "lo", "mask").union(last.select("doc_id", "key", "lo", "mask"))
-    gone = scratch.write(gone.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "mask")).alias("gone")), "gone")
-    scratch.drop(seen)
-    changed = cut(docs.join(gone, "doc_id").select("doc_id", "text", "gone"), window, texts).filter("n_removed > 0").dropDuplicates(["doc_id", "key"])
-    changed = scratch.write(changed.withColumnsRenamed({"doc_id": "_id", "key": "_key", "sha256": "_sha", "n_removed": "_gone"}), "changed")
-    scratch.drop(gone)
-    flagged = scanned.select("doc_id", "n_words", "key", "sha256", *["digest"] * texts).join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id") == F.col("_first"), "left")
-    out = flagged.join(changed, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    copy = F.col("_first").isNull() & (F.col("n_words") >= window)
-    columns = {
-        "doc_id": F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")),
-        "n_words": F.col("n_words"),
-        "n_removed": F.when(copy, F.col("n_words")).otherwise(F.coalesce("_gone", F.lit(0))).cast("long"),
-        "sha256": F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("_sha", "sha256")),
-    }
-    if texts:
-        columns["digest"] = F.col("digest")
-        columns["kept"] = F.when(copy, F.lit("")).otherwise(F.col("kept"))
-    return out.select(*[c.alias(n) for n, c in columns.items()])
+    made = scratch.write(units(docs), "units")
+    bits = bucket_bits((made.agg(F.sum("bytes")).first()[0] or 0) // 5)
+    left, opened = made, whole
+    for length in levels(window)[:-1]:
+        after = scratch.write(level(left, opened, length, window, bits), f"level{length}")
+        if left is not made:
+            scratch.drop(left)
+        scratch.free()
+        left, opened = after, stretches
+        if left.isEmpty():
+            break
+    gone = scratch.write(decided(left, opened, window, bits), "gone")
+    if left is not made:
+        scratch.drop(left)
+    return cut(made.join(gone, "unit", "left").select("body", "gone"), docs.schema, window)
+
+
+def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed, sha256 of the kept words joined by one space, and ``kept``, these words, null where nothing
+    is removed; one row for each row of ``docs``."""
+    has(docs, "doc_id", "text")
+    out = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
+    names = dict(zip((f.name for f in OUTPUT), ("n_words", "n_removed", "sha256", "kept"), strict=True))
+    return out.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; n_chars, where it is there, is counted anew.
 
     A text that loses nothing stays byte for byte; of one that does, the kept words are joined by one space.  A document
-    of which no word is left goes.  Cuts are joined on doc_id and the text's digest, so that rows with one doc_id or with
-    none each get their own.
+    of which no word is left goes.  Rows keep their own cuts, whatever doc_id they have.
     """
-    cuts = removals(docs, window, texts=True).filter("n_removed > 0")
-    cuts = cuts.groupBy(F.col("doc_id").alias("_colloquy_cut"), F.col("digest").alias("_colloquy_digest")).agg(F.min("kept").alias("_colloquy_kept"))
-    own = F.col("doc_id").eqNullSafe(F.col("_colloquy_cut")) & (text_digest() == F.col("_colloquy_digest"))
-    out = docs.join(cuts, own, "left").filter("_colloquy_kept is null or _colloquy_kept <> ''")
-    text = F.coalesce("_colloquy_kept", "text")
-    out = out.withColumn("text", text)
+    out = marked(docs, window).filter("_colloquy_kept is null or _colloquy_kept <> ''")
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.coalesce("_colloquy_kept", "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_colloquy_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("_colloquy_kept").isNull(), F.col("n_chars")).otherwise(F.length("_colloquy_kept").cast(kind))
+    return out.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:

@@ -106,14 +106,38 @@ def cut_plainly(rows, window=20):
 
 def test_substring(docs, none):
     want = cut_plainly(texts())
-    for deal in (1000, 1):
-        got = substring.removals(docs, 20, deal=deal).collect()
-        assert len(got) == len(texts())
-        assert {r.doc_id: (r.n_words, r.n_removed, r.sha256) for r in got} == {i: w[:3] for i, w in want.items()}
+    got = substring.removals(docs, 20).collect()
+    assert len(got) == len(texts())
+    assert {r.doc_id: (r.n_words, r.n_removed, r.sha256) for r in got} == {i: w[:3] for i, w in want.items()}
     kept = {r.doc_id: r.text for r in substring.dedup(docs, 20).collect()}
     source = {i: t for i, t, *_ in texts()}
     assert kept == {i: source[i] if not w[1] else w[3] for i, w in want.items() if not w[1] or w[3]}
-    assert substring.removals(none, 20).count() == 0
+    assert substring.removals(none, 20).count() == 0 and substring.dedup(none, 20).count() == 0
+
+
+@pytest.mark.parametrize(("window", "seed"), [(20, 0), (8, 1), (7, 2), (1, 3), (40, 4)])
+def test_substring_on_few_words(spark, monkeypatch, window, seed):
+    """Words of a small alphabet repeat in every way; small units and buckets make all of them exchange."""
+    rng = random.Random(seed)
+    blocks = [" ".join(rng.choice("ab") * rng.randrange(1, 3) for _ in range(rng.randrange(5, 60))) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(blocks) for _ in range(rng.randrange(4))), "en", "s") for i in range(60)]
+    want = cut_plainly(rows, window)
+    monkeypatch.setattr(substring.units, "__defaults__", (300,))
+    got = substring.removals(frame(spark, rows).repartition(5), window).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.sha256) for r in got} == {i: w[:3] for i, w in want.items()}
+
+
+def test_substring_tells_alternating_words_apart(spark):
+    """Two words of 1,024 bytes that a polynomial modulo a power of two takes for one another."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    common = passage(77, 19)
+    got = {r.doc_id: r.n_removed for r in substring.removals(frame(spark, [(1, f"{common} {one}", "en", "s"), (2, f"{common} {other}", "en", "s"), (3, f"{common} {one}", "en", "s")]), 20).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_levels():
+    assert substring.levels(20) == [5, 10, 20] and substring.levels(7) == [7] and substring.levels(40) == [5, 10, 20, 40]
 
 
 def test_tokens_equal_the_library():
@@ -292,6 +316,8 @@ def test_stages_tell_rows_with_one_id_apart(spark):
     tail = passage(990, 25)
     got = Counter((r.doc_id, r.text) for r in substring.dedup(frame(spark, [(None, a, "en", "s"), (None, b + " " + tail, "en", "s"), (3, tail + " x", "en", "s"), (4, a, "en", "s"), (4, c, "en", "s"), (5, d, "en", "s"), (5, d + " y", "en", "s")]), 20).collect())
     assert got[(None, a)] == 1 and got[(None, b + " " + tail)] == 1 and got[(3, "x")] == 1 and got[(4, c)] == 1 and (4, a) not in got and got[(5, d)] + got[(5, d + " y")] >= 1
+    nulls = frame(spark, [(None, f"{passage(3000 + i, 25)} {a} {passage(4000 + i, 25)}", "en", "s") for i in range(30)])
+    assert sorted(r.n_removed >= 60 for r in substring.removals(nulls, 20).collect()) == [False] + [True] * 29
     docs = frame(spark, [(None if i % 2 else 5, passage(2000 + i, 50), "en", "s" + str(i % 3)) for i in range(90)])
     assert mixing.mix(docs).count() == sum(r.copies for r in mixing.copies(docs).collect())
 
