@@ -11,6 +11,7 @@ size of the corpus; with ever more buckets an array comes down to single hashes,
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ UNITS = "unit long, bytes long, body binary"
 
 def packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -101,6 +102,21 @@ def exchanged(made: DataFrame, send: Callable[[pa.RecordBatch | bytes], Iterator
     return replied.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
 
 
+def numbers(x: np.ndarray) -> bytes:
+    """Whole numbers as their least and the differences from it, in as few bytes each as these take."""
+    least = int(x.min()) if len(x) else 0
+    most = int(x.max()) - least if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return struct.pack("<qBI", least, width, len(x)) + (x.astype(np.int64).view(np.uint64) - np.uint64(least % (1 << 64))).astype(f"<u{width}").tobytes()
+
+
+def read_numbers(message: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The numbers that begin at this byte, and where they end."""
+    least, width, n = struct.unpack_from("<qBI", message, at)
+    at += struct.calcsize("<qBI")
+    return (np.frombuffer(message, f"<u{width}", n, at).astype(np.uint64) + np.uint64(least % (1 << 64))).view(np.int64), at + n * width
+
+
 def repeated_in_bucket(messages: list[bytes], senders: list[int]) -> list[bytes | None]:
     """For messages of four-byte hashes: which of each are in another message too, as bits; None where none is."""
     parts = [np.frombuffer(m, "<u4") for m in messages]

@@ -11,7 +11,7 @@ sends what the one before it has left.  Texts are copied once, into units, and j
 to the final cuts by unit.  Nothing is keyed by a document, a passage or a window, so no group of copies meets in one task.
 
 Hashes: the levels before the last only leave out what can't be repeated, so their four bytes and a bucket's leading bits
-lose nothing by a collision.  The last compares two independent 64-bit hashes.
+lose nothing by a collision.  The last compares 96 bits.
 
 Defined cases: a null text has no words; a null doc_id comes before all others; rows with one doc_id are ordered by a hash of
 their words, and rows equal in both are one document (they keep the same words); documents shorter than a window keep
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .bytewords import flat, joined, run_hashes, span_hashes, spaced_words
-from .exchange import bucket_bits, cuts, exchanged, masked, packed, repeated_in_bucket, replies_of, units, unpacked
+from .bytewords import flat, joined, mix, run_hashes, span_hashes, spaced_words
+from .exchange import bucket_bits, cuts, exchanged, masked, numbers, packed, read_numbers, repeated_in_bucket, replies_of, units, unpacked
 from .shared import Scratch, has
 
 WINDOW = 20
@@ -39,7 +39,8 @@ WINDOW = 20
 LEAST = 5
 #: Comes before every doc_id.
 NULL_ID = -(1 << 63)
-SECOND = 1
+#: Fixed value: what makes a window's second hash differ from its first.
+SECOND = 0x9E3779B97F4A7C15
 OUTPUT = [StructField("_colloquy_words", LongType()), StructField("_colloquy_removed", LongType()), StructField("_colloquy_sha", StringType()), StructField("_colloquy_kept", StringType())]
 
 
@@ -57,16 +58,15 @@ class Stretches(NamedTuple):
     at: np.ndarray  # the first word's number in the unit
     lo: np.ndarray  # and in its document
     doc: np.ndarray
-    key: np.ndarray  # a hash of the document's words
+    key: np.ndarray  # 32 bits of a hash of the document's words
     size: np.ndarray
-    words: np.ndarray  # two hashes of each word
-    seconds: np.ndarray
+    words: np.ndarray  # a hash of each word
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.size)), self.size)
 
     def body(self) -> bytes:
-        return packed(pa.RecordBatch.from_arrays([*(pa.array(x) for x in self[:5]), *(pa.array([x.tobytes()] + [None] * (len(self.size) - 1), pa.binary()) for x in self[5:])], list(self._fields)))
+        return packed(pa.RecordBatch.from_arrays([*(pa.array(x) for x in self[:5]), pa.array([self.words.tobytes()] + [None] * (len(self.size) - 1), pa.binary())], list(self._fields)))
 
 
 def whole(body: bytes) -> Stretches:
@@ -77,13 +77,13 @@ def whole(body: bytes) -> Stretches:
     words = span_hashes(data, start, end)
     size = np.bincount(row, minlength=part.num_rows)
     first = np.cumsum(size) - size
-    key = np.array([xxhash.xxh3_64_intdigest(words[a : a + n].tobytes()) for a, n in zip(first.tolist(), size.tolist(), strict=True)], np.uint64).view(np.int64)
-    return Stretches(first, np.zeros(len(size), np.int64), np.asarray(part.column("doc_id").fill_null(NULL_ID)).astype(np.int64), key, size, words, span_hashes(data, start, end, SECOND))
+    key = np.array([xxhash.xxh3_64_intdigest(words[a : a + n].tobytes()) >> 32 for a, n in zip(first.tolist(), size.tolist(), strict=True)], np.int64)
+    return Stretches(first, np.zeros(len(size), np.int64), np.asarray(part.column("doc_id").fill_null(NULL_ID)).astype(np.int64), key, size, words)
 
 
 def stretches(body: bytes) -> Stretches:
     part = unpacked(body)
-    return Stretches(*(np.asarray(part.column(n)) for n in Stretches._fields[:5]), *(np.frombuffer(part.column(n)[0].as_buffer(), np.uint64) for n in Stretches._fields[5:]))
+    return Stretches(*(np.asarray(part.column(n)) for n in Stretches._fields[:5]), np.frombuffer(part.column("words")[0].as_buffer(), np.uint64))
 
 
 def sequences(s: Stretches, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +109,10 @@ def narrowed(s: Stretches, at: np.ndarray, repeated: np.ndarray, length: int, wi
     of = row[begin]
     inside = begin - (np.cumsum(s.size) - s.size)[of]
     words = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return Stretches(s.at[of] + inside, s.lo[of] + inside, s.doc[of], s.key[of], size, s.words[words], s.seconds[words])
+    return Stretches(s.at[of] + inside, s.lo[of] + inside, s.doc[of], s.key[of], size, s.words[words])
 
 
-def level(made: DataFrame, opened, length: int, window: int, bits: int) -> DataFrame:
+def level(made: DataFrame, opened, length: int, window: int, bits: int, scratch: Scratch) -> DataFrame:
     """unit, body: what is left of each unit's stretches at this length."""
 
     def send(body):
@@ -131,11 +131,28 @@ def level(made: DataFrame, opened, length: int, window: int, bits: int) -> DataF
                 if left is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([left.body()], pa.binary())], ["unit", "body"])
 
-    replied = exchanged(made, send, repeated_in_bucket)
+    replied = scratch.write(exchanged(made, send, repeated_in_bucket), "replies")
+    scratch.free()
     return made.select("unit", "body").join(replied, "unit", "left").mapInArrow(run, "unit long, body binary")
 
 
-ENTRY = np.dtype([("first", "<u8"), ("second", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i4")])
+ENTRY = np.dtype([("first", "<u8"), ("second", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8")])
+
+
+def message_of(entries: np.ndarray) -> bytes:
+    return b"".join([*(numbers(entries[c]) for c in ("doc", "key", "lo")), entries["first"].tobytes(), entries["second"].tobytes()])
+
+
+def entries_of(message: bytes) -> np.ndarray:
+    at, columns = 0, []
+    for _ in range(3):
+        x, at = read_numbers(message, at)
+        columns.append(x)
+    out = np.empty(len(columns[0]), ENTRY)
+    out["doc"], out["key"], out["lo"] = columns
+    out["first"] = np.frombuffer(message, "<u8", len(out), at)
+    out["second"] = np.frombuffer(message, "<u4", len(out), at + 8 * len(out))
+    return out
 
 
 def windows(s: Stretches, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +160,7 @@ def windows(s: Stretches, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     at, hashes = sequences(s, window)
     row = s.row()[at]
     entries = np.empty(len(at), ENTRY)
-    entries["first"], entries["second"] = hashes, run_hashes(s.seconds, window)[at]
+    entries["first"], entries["second"] = hashes, run_hashes(mix(s.words ^ np.uint64(SECOND)), window)[at] >> np.uint64(32)
     entries["doc"], entries["key"] = s.doc[row], s.key[row]
     entries["lo"] = s.lo[row] + at - (np.cumsum(s.size) - s.size)[row]
     order = np.lexsort((entries["lo"], entries["key"], entries["doc"], entries["second"], entries["first"]))
@@ -159,7 +176,7 @@ def same_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def later_in_bucket(messages: list[bytes], senders: list[int]) -> list[bytes | None]:
     """Which of the windows sent (each unit's first of its kind) aren't the first of all."""
-    parts = [np.frombuffer(m, ENTRY) for m in messages]
+    parts = [entries_of(m) for m in messages]
     every = np.concatenate(parts)
     order = np.lexsort((every["lo"], every["key"], every["doc"], every["second"], every["first"]))
     ordered = every[order]
@@ -170,13 +187,13 @@ def later_in_bucket(messages: list[bytes], senders: list[int]) -> list[bytes | N
     return [np.packbits(f).tobytes() if f.any() else None for f in np.split(flag, np.cumsum([len(p) for p in parts])[:-1])]
 
 
-def decided(made: DataFrame, opened, window: int, bits: int) -> DataFrame:
+def decided(made: DataFrame, opened, window: int, bits: int, scratch: Scratch) -> DataFrame:
     """unit, gone: numbers of the unit's words at which windows begin that start earlier elsewhere."""
 
     def send(body):
         _, entries, _, head = windows(opened(body), window)
         entries = entries[head]
-        return [(bucket, entries[a:b].tobytes()) for bucket, a, b in cuts(entries["first"], bits)]
+        return [(bucket, message_of(entries[a:b])) for bucket, a, b in cuts(entries["first"], bits)]
 
     def run(batches):
         for batch in batches:
@@ -189,7 +206,8 @@ def decided(made: DataFrame, opened, window: int, bits: int) -> DataFrame:
                 if len(gone):
                     yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([gone.astype("<i4").tobytes()], pa.binary())], ["unit", "gone"])
 
-    replied = exchanged(made, send, later_in_bucket)
+    replied = scratch.write(exchanged(made, send, later_in_bucket), "replies")
+    scratch.free()
     return made.select("unit", "body").join(replied, "unit", "left").mapInArrow(run, "unit long, gone binary")
 
 
@@ -233,16 +251,17 @@ def marked(docs: DataFrame, window: int) -> DataFrame:
     bits = bucket_bits((made.agg(F.sum("bytes")).first()[0] or 0) // 5)
     left, opened = made, whole
     for length in levels(window)[:-1]:
-        after = scratch.write(level(left, opened, length, window, bits), f"level{length}")
+        after = scratch.write(level(left, opened, length, window, bits, scratch), f"level{length}")
         if left is not made:
             scratch.drop(left)
         scratch.free()
         left, opened = after, stretches
         if left.isEmpty():
             break
-    gone = scratch.write(decided(left, opened, window, bits), "gone")
+    gone = scratch.write(decided(left, opened, window, bits, scratch), "gone")
     if left is not made:
         scratch.drop(left)
+    scratch.free()
     return cut(made.join(gone, "unit", "left").select("body", "gone"), docs.schema, window)
 
 
