@@ -364,32 +364,64 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.scores(d, labels.filter("false")).collect()} == {0.0}
 
 
-def test_toxicity_keeps_every_count(spark, monkeypatch):
+def plain_kneser_ney(rows):
+    """Each word's log P(word | toxic) - log P(word | ordinary), from sets and dictionaries."""
+    import math
+    import re
+
+    before = [{}, {}]
+    for text, toxic in rows:
+        last = None
+        for w in re.findall("[a-z0-9']+", text.lower()):
+            before[toxic].setdefault(w, set()).add(last)
+            last = w
+    every = {w: before[0].get(w, set()) | before[1].get(w, set()) for w in {*before[0], *before[1]}}
+    shared = sum(map(len, every.values()))
+
+    def log_p(word, k):
+        n = {w: len(s) for w, s in before[k].items()}
+        c = [sum(v == i for v in n.values()) for i in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1])
+        d = [0, 1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1], 3 - 4 * y * c[3] / c[2]]
+        freed = sum(d[min(v, 3)] for v in n.values())
+        backoff = (len(every.get(word, ())) + 0.5) / (shared + 0.5 * (len(every) + 1))
+        return math.log((n.get(word, 0) - d[min(n.get(word, 0), 3)] + freed * backoff) / sum(n.values()))
+
+    return lambda word: log_p(word, 1) - log_p(word, 0)
+
+
+def test_toxicity_equals_plain_kneser_ney(spark):
     import pyarrow as pa
 
-    from colloquy.llm.bytewords import flat
     from colloquy.llm.shared import Scratch
 
-    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 3_000_000).astype(np.uint64))
-    table = toxicity.Table(keys, np.arange(2 * len(keys)).reshape(-1, 2) % 1000 + 1)
-    assert (table(keys) == np.arange(2 * len(keys)).reshape(-1, 2) % 1000 + 1).all() and not table(keys + np.uint64(1 << 63)).any()
     rows = [(i, passage(i % 37, 50) + " " + passage(i, 9), int(i % 3 == 0)) for i in range(200)]
-    counts = toxicity.count_bigrams(spark.createDataFrame(rows, "doc_id long, text string, _toxic int"))
-    short = toxicity.gather(counts, Scratch(spark, "t"))
-    monkeypatch.setattr(toxicity, "tells", lambda o, t: F.lit(True))
-    monkeypatch.setattr(toxicity, "alone", lambda: F.lit(False))
-    whole = toxicity.gather(counts, Scratch(spark, "t"))
-    assert len(whole.pairs.mark) - 1 == counts.count() > len(short.pairs.mark)
-    key, begun, _ = toxicity.bigrams(*flat(pa.array([r[1] for r in rows] + [passage(9999, 300)])))
-    assert (short.differences(key, begun) == whole.differences(key, begun)).all()
+    counted = spark.createDataFrame(rows, "doc_id long, text string, _toxic int").repartition(3)
+    asked = [(i, passage(i + 30, 40) + " unseen", "en", "s") for i in range(40)] + [(90, "", "en", "s"), (None, None, "en", "s"), (91, rows[5][1], "en", "s"), (91, rows[5][1], "en", "s")]
+    plain = plain_kneser_ney([(t, k) for _, t, k in rows])
+    got = toxicity.measured(frame(spark, asked).repartition(4), counted, Scratch(spark, "t")).collect()
+    assert len(got) == len(asked)
+    by = {(r.doc_id, i): r.x for r in got for i in range(1)}
+    for i, text, *_ in asked:
+        gains = [plain(w) for w in (text or "").split()]
+        assert by[i, 0][0] == pytest.approx(np.mean(gains) if gains else 0, abs=1e-5)
+        assert by[i, 0][1] == pytest.approx(max(gains, default=0), abs=1e-5)
+        assert by[i, 0][2] == pytest.approx(max((np.mean(gains[j : j + 3]) for j in range(max(1, len(gains) - 2))), default=0) if gains else 0, abs=1e-5)
+    words, _ = toxicity.words(pa.array([" ".join(sorted({w for _, t, *_ in asked for w in (t or "").split()}))]))
+    table = {r.word: r for r in toxicity.contexts(counted).collect()}
+    known = toxicity.statistics(spark.createDataFrame(list(table.values())))
+    values = [np.array([getattr(table[h], c) if (h := int(w)) in table else 0 for w in words.view(np.int64)]) for c in ("o", "t", "e")]
+    want = [plain(w) for w in sorted({w for _, t, *_ in asked for w in (t or "").split()})]
+    assert toxicity.differences(*values, known) == pytest.approx(want, abs=1e-9)
 
 
 def test_toxicity_counts_what_it_does_not_calibrate_on(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
     docs, labels = frame(spark, [(i, "a", "en", "s") for i in range(300)]), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
-    got = {r.doc_id: r._apart for r in toxicity.labelled(docs, labels).collect()}
-    assert set(got) == {i for i in range(300) if zlib.crc32(str(i).encode()) % 5} and sum(got.values()) == 10
-    assert all(zlib.crc32(str(i).encode()) % 5 == 1 for i, apart in got.items() if apart)
+    rows, sample = toxicity.labelled(docs, labels)
+    counted, apart = [r.doc_id for r in rows.collect()], [r._sampled for r in sample.collect()]
+    assert sorted(counted + apart) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 5] and len(apart) == 10
+    assert all(zlib.crc32(str(i).encode()) % 5 == 1 for i in apart)
 
 
 def test_urls(spark):
