@@ -1,12 +1,14 @@
 """Packing token sequences by linear grouping and best fit.
 
 The plan depends on how many pieces there are of each length only, at most ``capacity`` numbers, and is made on the
-driver.  Large lengths, sorted, are put into groups of equal cardinality, and each is rounded up to the longest of its
-group.  The few sizes left make a cutting-stock problem, solved by column generation over configurations; whole
+driver.  Pieces of the full capacity are sequences by themselves.  Large lengths, sorted, are put into groups of equal
+cardinality, and each is rounded up to the longest of its group.  The few sizes left make a cutting-stock problem, solved by column generation over configurations; whole
 multiples of its configurations become runs of equal sequences, and what remains is packed by the best configurations in
 turn.  Actual lengths then replace the rounded ones, longest first, which splits runs; and small pieces go, longest first,
-into the run with the least room that holds them.  Runs, not sequences, are stored, so the plan's size doesn't follow the
-number of documents.
+into the run with the least room that holds them.  What counts as large is tried at each of ``LARGE`` shares of the
+capacity, and the plan with the fewest sequences is taken; with half of it, a configuration holds one large piece, so no
+plan needs more sequences than best fit of all pieces, longest first.  Runs, not sequences, are stored, so the plan's size
+doesn't follow the number of documents.
 
 Scale: texts are tokenized once, in the tasks that read them, and never shuffled; a piece travels as a few numbers.  Its
 rank among pieces of its length comes from counts by (length, part), so a common length is divided; its place follows
@@ -31,8 +33,8 @@ from .tokens import encoded, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
-#: Lengths above this share of the capacity are large; they make so many groups.
-LARGE, GROUPS = 0.45, 128
+#: Lengths above one of these shares of the capacity are large; they make so many groups.
+LARGE, GROUPS = (0.3, 0.45, 0.5), 96
 #: Parts of a length's pieces, by doc_id.
 PARTS = 1024
 
@@ -224,13 +226,19 @@ def best_fit(runs: list[list], counts: dict[int, int], capacity: int) -> list[li
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[list]:
     """Runs [number of sequences, [lengths in each]] that hold ``counts[length]`` pieces of each length."""
     counts = {int(s): int(n) for s, n in counts.items() if n}
-    large = {s: n for s, n in counts.items() if s > capacity * LARGE}
-    small = {s: n for s, n in counts.items() if s <= capacity * LARGE}
+    full = counts.pop(capacity, 0)
+    plans = [grouped(counts, capacity, share) for share in LARGE]
+    return [[full, [capacity]]] * bool(full) + min(plans, key=lambda runs: sum(n for n, _ in runs))
+
+
+def grouped(counts: dict[int, int], capacity: int, share: float) -> list[list]:
+    """Runs for the pieces, of which those longer than this share of the capacity are large."""
+    large = {s: n for s, n in counts.items() if s > capacity * share}
     runs = []
     if large:
         groups = groups_of(large, GROUPS)
         runs = substitute(rounded_runs(groups, capacity), large, groups)
-    return best_fit(runs, small, capacity)
+    return best_fit(runs, {s: n for s, n in counts.items() if s not in large}, capacity)
 
 
 def places(runs: list[list]) -> dict[str, np.ndarray]:
