@@ -143,3 +143,63 @@ def masked(keys: np.ndarray, bits: int, replies: dict[int, bytes]) -> np.ndarray
 def replies_of(scalar) -> dict[int, bytes]:
     """The replies of one row of a joined column, by bucket."""
     return {r["bucket"]: r["reply"] for r in scalar.as_py() or []}
+
+
+def values_of(message: bytes, at: int, columns: int) -> list[np.ndarray]:
+    """So many lists of numbers from this byte on."""
+    out = []
+    for _ in range(columns):
+        x, at = read_numbers(message, at)
+        out.append(x)
+    return out
+
+
+def looked_up(made: DataFrame, keys_of: Callable[[bytes], np.ndarray], table: DataFrame, key: str, columns: list[str], bits: int) -> DataFrame:
+    """unit, replies: which of a unit's hashes (``keys_of`` its body: sorted, each once) are in the table under ``key``, a
+    column of hashes that doesn't repeat, and the whole numbers that ``columns`` have there; see ``received``."""
+
+    def send(body):
+        keys = keys_of(body)
+        return [(bucket, keys[a:b].tobytes()) for bucket, a, b in cuts(keys, bits)]
+
+    def stock(batches):
+        for batch in batches:
+            keys = np.asarray(batch.column(key)).view(np.uint64)
+            order = np.argsort(keys)
+            keys, values = keys[order], [np.asarray(batch.column(c))[order] for c in columns]
+            rows = [(bucket, -1, b"".join([numbers(keys[a:b].view(np.int64)), *(numbers(v[a:b]) for v in values)])) for bucket, a, b in cuts(keys, bits)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "unit", "message"])
+
+    def answer(messages, senders):
+        stocked = [values_of(m, 0, 1 + len(columns)) for m, u in zip(messages, senders, strict=True) if u < 0]
+        if not stocked:
+            return [None] * len(messages)
+        known, *values = (np.concatenate(c) for c in zip(*stocked, strict=True))
+        known = known.view(np.uint64)
+        order = np.argsort(known)
+        known, values = known[order], [v[order] for v in values]
+        out = []
+        for m, u in zip(messages, senders, strict=True):
+            if u < 0:
+                out.append(None)
+                continue
+            asked = np.frombuffer(m, "<u8")
+            at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            hit = known[at] == asked
+            out.append(np.packbits(hit).tobytes() + b"".join(numbers(v[at[hit]]) for v in values))
+        return out
+
+    return exchanged(made, send, answer, table.select(key, *columns).mapInArrow(stock, "bucket int, unit long, message binary"))
+
+
+def received(keys: np.ndarray, bits: int, replies: dict[int, bytes], columns: int) -> list[np.ndarray]:
+    """The columns' values for a unit's sorted hashes, 0 for those that the table doesn't have."""
+    out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
+    for bucket, a, b in cuts(keys, bits):
+        if (reply := replies.get(bucket)) is not None:
+            size = -(-(b - a) // 8)
+            hit = a + np.flatnonzero(np.unpackbits(np.frombuffer(reply, np.uint8, size), count=b - a))
+            for column, x in zip(out, values_of(reply, size, columns), strict=True):
+                column[hit] = x
+    return out

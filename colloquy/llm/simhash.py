@@ -7,8 +7,12 @@ variant's leading bits; a fingerprint sends one row for each leading part that i
 the task of that part makes the variants with it and sorts them.  All fingerprints on one variant are within 2r bits of
 each other, so each links to the first of them: no pairs are listed.  Links become classes by contraction.
 
+A ball of four of 64 bits holds few of the texts that share 0.8 of their shingles: these differ in nine or ten bits.
+``sketches`` therefore gives a text several independent fingerprints, and two texts are linked where any of these are within
+the radius: each is another chance to be found, and a chance link of unrelated texts stays as rare as for one.
+
 Scale: texts are read once and never shuffled; copies collapse to one fingerprint by partial aggregation; the number of
-leading bits follows the number of fingerprints, so that a part's variants stay near ``VARIANTS``; a part above that is
+leading bits follows the number of fingerprints, so that a part's variants stay near ``PART``; a part above that is
 worked through by further bits, a bounded number of variants at once.  Class ids come from rounds of contraction, each
 of which is a written table; nothing is collected.
 
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, flat, slices
+from .bytewords import LOWER, flat, mix, run_hashes, slices, spaced_words, span_hashes
 from .shared import Scratch, has, text_digest
 
 #: Words in a shingle and differing bits in a link.  The contract of op3 fixes 4 and 4; 5 words are the general setting.
@@ -37,7 +41,7 @@ SHINGLE, RADIUS = 5, 4
 #: Fixed value: the seed of the hash.
 XX_SEED = 42
 #: Variants that one part is meant to have, and that one step sorts at most.
-VARIANTS = 1 << 20
+PART, VARIANTS = 1 << 22, 1 << 20
 NULL_ID = (1 << 63) - 1
 
 
@@ -72,6 +76,65 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, digests: bool = False) -> Da
     return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digests)
 
 
+#: Eight counters of a byte each, the bits of a hash that are shifted into them, and how often they can count.
+LANES, LANE_MOST = np.uint64(0x0101010101010101), 255
+#: Fixed value: what makes the fingerprints of one text independent.
+FOLD = 0x9E3779B97F4A7C15
+
+
+def majorities(hashes: np.ndarray, row: np.ndarray, rows: int, number: int) -> np.ndarray:
+    """For each row so many 64-bit majorities over its hashes; rows are in order, and one without hashes gets zeros."""
+    out = np.zeros((rows, number), np.uint64)
+    if not len(hashes):
+        return out
+    at = np.arange(len(row))
+    first = np.searchsorted(row, np.arange(rows))
+    head = np.flatnonzero((at - first[row]) % LANE_MOST == 0)  # stretches that a lane can count
+    of = row[head]
+    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    total = np.bincount(row, minlength=rows)[of[begin]]
+    for n in range(number):
+        h = mix(hashes + np.uint64((n + 1) * FOLD % (1 << 64)))
+        for bit in range(8):
+            counts = np.add.reduceat(h >> np.uint64(bit) & LANES, head).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(counts, begin, axis=0, dtype=np.int64)
+            for lane in range(8):
+                out[of[begin], n] |= (ones[:, lane] * 2 > total).astype(np.uint64) << np.uint64(8 * lane + bit)
+    return out
+
+
+def sketch(texts: pa.Array, k: int, number: int) -> np.ndarray:
+    """So many fingerprints of each text's shingles; fewer words than a shingle make one, and without words all are zero."""
+    data, at = flat(texts)
+    low = LOWER[data]
+    start, end, row = spaced_words(low, at)
+    words = span_hashes(low, start, end)
+    inside = row[: max(0, len(row) - k + 1)] == row[k - 1 :]
+    hashes, owner = run_hashes(words, k)[inside], row[: len(inside)][inside]
+    counts = np.bincount(row, minlength=len(texts))
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    first = np.cumsum(counts) - counts
+    more = np.array([run_hashes(words[first[i] : first[i] + counts[i]], int(counts[i]))[0] for i in short], np.uint64)
+    order = np.argsort(np.concatenate([owner, short]), kind="stable")
+    return majorities(np.concatenate([hashes, more])[order], np.concatenate([owner, short])[order], len(texts), number)
+
+
+def sketches(docs: DataFrame, k: int, number: int, digests: bool = False) -> DataFrame:
+    """As ``fingerprints``, with ``fps``, an array of so many; fp is a hash of all of them."""
+    has(docs, "doc_id", "text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fps = sketch(part.column("text"), k, number).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * number), pa.array(fps.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, *([part.column("digest")] if digests else [])], ["doc_id", "fps", *["digest"] * digests])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[text_digest().alias("digest")] * digests)
+    made = rows.mapInArrow(run, "doc_id long, fps array<long>" + ", digest binary" * digests)
+    return made.select("doc_id", F.xxhash64("fps").alias("fp"), *["digest"] * digests, "fps")
+
+
 @cache
 def ball(bits: int, radius: int) -> list[int]:
     """All values of so many bits with at most ``radius`` ones."""
@@ -80,7 +143,7 @@ def ball(bits: int, radius: int) -> list[int]:
 
 def leading_bits(fingerprints: int, radius: int) -> int:
     variants = fingerprints * len(ball(64, radius // 2))
-    return min(24, max(6, math.ceil(math.log2(max(1, variants / VARIANTS)))))
+    return min(23, max(6, math.ceil(math.log2(max(1, variants / PART)))))
 
 
 def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -137,26 +200,51 @@ def meet(members: np.ndarray, some: np.ndarray, lead: int, bits: int, radius: in
 
 
 def links(distinct: DataFrame, bits: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): fingerprints in one class, such that all within ``radius`` bits are joined by links."""
+    """(number, a, b): fingerprints in one class, such that all within ``radius`` bits are joined by links.
+
+    ``distinct``: (number, fp); only fingerprints of one number are compared.
+    """
     rest = 64 - bits
     masks = F.array(*[F.lit(m) for m in ball(bits, radius // 2)])
     lead = F.shiftrightunsigned("fp", rest)
-    sent = distinct.select("fp", F.explode(F.transform(masks, lambda m: lead.bitwiseXOR(m))).alias("lead"))
+    group = (F.col("number").cast("long") * (1 << bits)).cast("int")
+    sent = distinct.select("fp", F.explode(F.transform(masks, lambda m: group + lead.bitwiseXOR(m).cast("int"))).alias("lead"))
 
     def run(batches):
-        got = [(b.column("lead"), b.column("fp")) for b in batches]
-        if not got:
-            return
-        leads, fps = (np.concatenate([np.asarray(x[i]) for x in got]) for i in (0, 1))
-        order = np.argsort(leads, kind="stable")
-        leads, fps = leads[order], fps[order].view(np.uint64)
-        cuts = np.concatenate([[0], np.flatnonzero(leads[1:] != leads[:-1]) + 1, [len(leads)]])
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if j - i > 1:
-                a, b = link_part(np.sort(fps[i:j]), int(leads[i]), bits, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        leads, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+        def groups(upto):
+            cuts = np.concatenate([[0], np.flatnonzero(leads[1:upto] != leads[: upto - 1]) + 1, [upto]])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j - i > 1:
+                    a, b = link_part(np.sort(fps[i:j]), int(leads[i]) & (1 << bits) - 1, bits, radius)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), int(leads[i]) >> bits, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["number", "a", "b"])
+
+        for batch in batches:
+            leads, fps = np.concatenate([leads, np.asarray(batch.column("lead"))]), np.concatenate([fps, np.asarray(batch.column("fp")).view(np.uint64)])
+            whole = int(np.searchsorted(leads, leads[-1])) if len(leads) else 0  # the last group may go on
+            if whole:
+                yield from groups(whole)
+                leads, fps = leads[whole:], fps[whole:]
+        if len(leads):
+            yield from groups(len(leads))
+
+    return sent.repartition("lead").sortWithinPartitions("lead").mapInArrow(run, "number int, a long, b long")
 
-    return sent.repartition("lead").mapInArrow(run, "a long, b long")
+
+def sketch_links(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of the ``fp`` of sketches (fp, fps) that have a fingerprint of one number within ``radius`` bits.
+
+    A fingerprint that several sketches share stands for the least of them, to which the others are linked.
+    """
+    each = scratch.write(distinct.select("fp", F.posexplode("fps").alias("number", "word")), "numbered")
+    heads = scratch.write(each.groupBy("number", "word").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "heads")
+    near = scratch.write(links(heads.select("number", F.col("word").alias("fp")), leading_bits(distinct.count(), radius), radius), "near")
+    scratch.free()
+    side = lambda word, head: heads.select("number", F.col("word").alias(word), F.col("head").alias(head))
+    across = near.join(side("a", "x"), ["number", "a"]).join(side("b", "y"), ["number", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = each.join(heads.filter("n > 1"), ["number", "word"]).select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    return across.union(same)
 
 
 def contract(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -189,18 +277,21 @@ def contract(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     return moves and moves.withColumnRenamed("to", "root")
 
 
-def classed(docs: DataFrame, k: int, radius: int, digests: bool) -> DataFrame:
-    """The rows of ``fingerprints`` with ``own`` (doc_id, NULL_ID for none; with ``digests`` the pair of it and the digest)
+def classed(docs: DataFrame, k: int, radius: int, digests: bool, number: int = 0) -> DataFrame:
+    """The rows of ``fingerprints``, or of ``sketches`` if a number is given, with ``own`` (doc_id, NULL_ID for none; with ``digests`` the pair of it and the digest)
     and ``component``, the smallest ``own`` of the class."""
     if radius % 2:
         raise ValueError("the radius must be even")
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(docs, k, digests), "fingerprints")
+    marked = scratch.write(sketches(docs, k, number, digests) if number else fingerprints(docs, k, digests), "fingerprints")
     own = F.coalesce("doc_id", F.lit(NULL_ID))
     own = F.struct(own.alias("id"), "digest") if digests else own
-    distinct = scratch.write(marked.groupBy("fp").agg(F.min(own).alias("least")), "distinct")
+    distinct = scratch.write(marked.groupBy("fp").agg(F.min(own).alias("least"), *[F.min("fps").alias("fps")] * bool(number)), "distinct")
     scratch.free()
-    found = scratch.write(links(distinct, leading_bits(distinct.count(), radius), radius), "links")
+    if number:
+        found = sketch_links(distinct, radius, scratch)
+    else:
+        found = scratch.write(links(distinct.select(F.lit(0).alias("number"), "fp"), leading_bits(distinct.count(), radius), radius), "links").select("a", "b")
     roots = contract(found, scratch)
     if roots is None:
         known = distinct.select("fp", F.col("least").alias("component"))
@@ -219,13 +310,14 @@ def components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataF
     return classed(docs, k, radius, False).select("doc_id", "fp", component.alias("component_id"))
 
 
-def dedup(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, number: int = 0) -> DataFrame:
     """One document of each class stays, the one with the smallest doc_id, or of several texts with it that with the
     smallest digest; columns as in ``docs``.
 
     Rows with one doc_id and one text are one document and stay or go together; of those without a doc_id one stays.
+    With ``number``, classes are by so many fingerprints a text (``sketches``), else by the one of ``fingerprints``.
     """
-    kept = classed(docs, k, radius, True).filter("own = component").select(F.col("own.id").alias("_colloquy_id"), F.col("own.digest").alias("_colloquy_own")).distinct()
+    kept = classed(docs, k, radius, True, number).filter("own = component").select(F.col("own.id").alias("_colloquy_id"), F.col("own.digest").alias("_colloquy_own")).distinct()
     marked = docs.withColumn("_colloquy_digest", text_digest())
     stays = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("_colloquy_id")) & (F.col("_colloquy_digest") == F.col("_colloquy_own"))
     out = marked.join(kept, stays, "left_semi")

@@ -69,13 +69,83 @@ def test_simhash(docs, none):
     assert simhash.components(none).count() == 0
 
 
-def test_simhash_divides_large_parts(monkeypatch):
-    rng = np.random.default_rng(0)
-    members = np.unique(np.uint64(rng.integers(0, 1 << 62)) ^ (np.uint64(1) << rng.integers(0, 50, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 50, 300).astype(np.uint64)))
-    lead = int(members[0]) >> 58
-    whole = simhash.link_part(members, lead, 6, 4)
-    monkeypatch.setattr(simhash, "VARIANTS", 2000)
-    assert sorted(zip(*simhash.link_part(members, lead, 6, 4), strict=True)) == sorted(zip(*whole, strict=True))
+def components_by_brute_force(numbers):
+    """Each number's class under links of four differing bits or fewer."""
+    values = np.unique(np.array(numbers, np.uint64))
+    root = np.arange(len(values))
+    for i, v in enumerate(values):
+        near = np.flatnonzero(np.bitwise_count(values ^ v) <= 4)
+        root[np.isin(root, root[near])] = root[near].min()
+        root[i] = root[near].min()
+    return {int(v): int(r) for v, r in zip(values, root, strict=True)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_simhash_finds_all_within_the_radius(spark, monkeypatch, small):
+    """Random fingerprints and, of each, one at each distance from 0 to 6, over the whole path; small parts divide further."""
+    if small:
+        monkeypatch.setattr(simhash, "VARIANTS", 2000)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 60).astype(np.uint64)
+    made = [int(b) for b in base]
+    for b in base:
+        for distance in range(7):
+            made.append(int(b) ^ sum(1 << int(i) for i in rng.choice(64, distance, replace=False)))
+    want = components_by_brute_force(made)
+    signed = [(0, int(np.uint64(v).view(np.int64))) for v in want]
+    found = simhash.links(spark.createDataFrame(signed, "number int, fp long").repartition(3), 7).collect()
+    root = {v: v for v in want}
+    for r in found:
+        a, b = (int(np.int64(x).view(np.uint64)) for x in (r.a, r.b))
+        assert r.number == 0
+        x, y = root[a], root[b]
+        root = {v: min(x, y) if c in (x, y) else c for v, c in root.items()}
+    groups = lambda m: sorted(sorted(v for v in m if m[v] == c) for c in set(m.values()))
+    assert groups(root) == groups(want)
+
+
+def test_sketches_equal_plain_ones():
+    import pyarrow as pa
+
+    from colloquy.llm.bytewords import flat, mix, pair_hashes, run_hashes, span_hashes, spaced_words
+
+    rows = [passage(i, n) for i, n in enumerate((0, 1, 3, 5, 6, 40, 700))] + [None, passage(5, 40).upper()]
+    got = simhash.sketch(pa.array(rows), 5, 3)
+    for text, fps in zip(rows, got, strict=True):
+        data, at = flat(pa.array([(text or "").lower()]))
+        words = span_hashes(data, *spaced_words(data, at)[:2])
+        hashes = [int(run_hashes(words[i : i + 5], min(5, len(words)))[0]) for i in range(max(1, len(words) - 4))] if len(words) else []
+        for n in range(3):
+            mixed = [int(mix(np.array([(h + (n + 1) * simhash.FOLD) % (1 << 64)], np.uint64))[0]) for h in hashes]
+            assert int(fps[n]) == sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > len(mixed))
+    assert (got[5] == got[8]).all() and not got[0].any()
+
+
+def test_sketch_classes_equal_brute_force(spark):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        words = passage(500 + i, rng.randrange(3, 300)).split()
+        for j in range(4):
+            copy = [w if rng.random() > 0.01 * j else "new" + w for w in words]
+            rows.append((10 * i + j, " ".join(copy), "en", "s"))
+    rows += [(900, "", "en", "s"), (901, None, "en", "s"), (7, rows[3][1], "en", "s"), (None, rows[50][1], "en", "s"), (None, "of its own and of no other here", "en", "s")]
+    fps = simhash.sketch(pa.array([r[1] for r in rows]), 5, 6)
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        near = np.flatnonzero((np.bitwise_count(fps ^ fps[i]) <= 4).any(1))
+        least = min(group[j] for j in near)
+        merged = {group[j] for j in near}
+        group = [least if g in merged else g for g in group]
+    classes = {}
+    for r, g in zip(rows, group, strict=True):
+        classes.setdefault(g, []).append(r)
+    kept = simhash.dedup(frame(spark, rows).repartition(3), 5, 4, number=6).collect()
+    assert len(kept) == len(classes)
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(min(r[0] for r in c if r[0] is not None) for c in classes.values() if any(r[0] is not None for r in c))
+    assert simhash.dedup(frame(spark, []), 5, 4, number=6).count() == 0
 
 
 def test_contraction(spark):
@@ -461,19 +531,63 @@ def test_urls(spark):
     assert url_filter.judge(pages.filter("false")).count() == 0
 
 
-def test_url_models_separate():
-    from colloquy.llm.bytewords import flat
-    import pyarrow as pa
+def plain_log_ratio(urls, asked):
+    """Mean log2 P(character | good) / P(character | bad) of the URLs asked, by Witten-Bell from dictionaries."""
+    import math
+
+    follow = [{}, {}]
+    pad = [0] * (url_filter.ORDER - 1)
+    for text, good in urls:
+        padded = pad + [b + 1 for b in text.encode()]
+        for i in range(len(pad), len(padded)):
+            for k in range(url_filter.ORDER):
+                context = follow[0 if good else 1].setdefault(tuple(padded[i - k : i]), Counter())
+                context[padded[i]] += 1
+
+    def log_p(seen, padded, i):
+        p = 1 / 256
+        for k in range(url_filter.ORDER):
+            c = seen.get(tuple(padded[i - k : i]))
+            if c:
+                p = (c[padded[i]] + len(c) * p) / (c.total() + len(c))
+        return math.log2(p)
+
+    out = []
+    for text in asked:
+        padded = pad + [b + 1 for b in text.encode()]
+        each = [log_p(follow[0], padded, i) - log_p(follow[1], padded, i) for i in range(len(pad), len(padded))]
+        out.append(sum(each) / max(1, len(each)))
+    return out
+
+
+def test_url_models_equal_plain_ones(spark):
+    from colloquy.llm.shared import Scratch
+
+    rng = random.Random(8)
+    known = [(f"{rng.choice(['www.', ''])}{passage(i, 1)}{rng.choice(['é', '漢', ''])}./{'good' if i % 3 else 'casino'}/{i}", bool(i % 3)) for i in range(90)]
+    asked = ["new.org/good/5", "new.org/casino/win", "", "a", "www.é./good/1", *(t for t, _ in known[:5])] + ["x" * 3000]
+    scratch = Scratch(spark, "t")
+    table = scratch.write(url_filter.counts(spark.createDataFrame(known, "text string, accepted boolean").repartition(3)), "counts")
+    got = {r.n: r.score for r in url_filter.scored(spark.createDataFrame(list(enumerate(asked)), "n long, text string").repartition(4), table, scratch).collect()}
+    assert [got[i] for i in range(len(asked))] == pytest.approx(plain_log_ratio(known, asked), abs=1e-5)
+    assert got[0] > 0 > got[1] and got[2] == 0
+
+
+def test_urls_without_a_rule_are_not_judged_by_their_top_level(spark):
+    """Rules accept .com and reject .net in part; what is learned is the rest of the URL."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [f"http://{word()}.com/news/{word()}" for _ in range(300)] + [f"http://{word()}.net/es/casino/{word()}" for _ in range(150)] + [f"http://{word()}.net/fr/casino/{word()}" for _ in range(150)]
+    asked = [f"http://{word()}.net/{kind}/{word()}" for kind in ("news", "casino") for _ in range(50)]
+    pages = spark.createDataFrame([(i, u, "h", "r", 1.0) for i, u in enumerate(rows + asked)], "page_id long, url string, host string, rule string, verdict double")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert all(got[i].rule is None for i in range(600, 700))
+    assert sum(got[i].verdict == "allow" for i in range(600, 650)) >= 48 and sum(got[i].verdict == "block" for i in range(650, 700)) >= 48
+
 
-    good, bad = [f"h{i}.org/good/page" for i in range(50)], [f"h{i}.org/casino/win" for i in range(50)]
-    counts = np.zeros((2, url_filter.SYMBOLS**url_filter.ORDER), np.float32)
-    for c, urls in enumerate((good, bad)):
-        code, _ = url_filter.sequences(*flat(pa.array(urls)))
-        np.add.at(counts[c], code, 1)
-    ratio = url_filter.smoothed(counts[0]) - url_filter.smoothed(counts[1])
-    s = url_filter.score(ratio, *flat(pa.array(["z.org/good", "z.org/casino", ""])))
-    assert s[0] > 0 > s[1] and s[2] == 0
-    assert np.allclose((2 ** url_filter.smoothed(counts[0])).reshape(-1, url_filter.SYMBOLS).sum(1), 1, atol=1e-3)
+def test_url_threshold():
+    assert url_filter.threshold([]) == 0 and url_filter.threshold([(3, 1, 0)]) == 0
+    assert url_filter.threshold([(-10, 0, 5), (-2, 1, 4), (4, 6, 0)]) == pytest.approx(1.5 / url_filter.STEPS)
 
 
 def test_encoder_is_kept():
