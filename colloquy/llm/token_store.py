@@ -15,7 +15,8 @@ and the code book is a table beside them: (id, bits).
 
 Scale: texts are read and tokenized once, and the ids, not the texts, are shuffled once by ranges of doc_id that come from
 the doc_ids alone; counts, encoding and decoding work on each file as it stands.  The code book is bounded by the
-vocabulary.  Where a document stands in the whole is a prefix sum over files.
+vocabulary.  Where a document stands in the whole is a prefix sum over files.  There are at most
+``FILES`` files, so what the driver holds of them is bounded.  The files belong to whoever asked for them and stay.
 
 Defined cases: a null text is empty and holds the end id alone; a null doc_id comes first; rows that repeat a doc_id are
 stored side by side, ordered by their ids' bytes; an empty table gives empty files; a document longer than a block has a
@@ -31,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import has, shared_path, Scratch
+from .bytewords import flat
+from .shared import Scratch, has, shared_path
 from .tokens import encoded, tokenizer_path
 
 END_ID = 2
@@ -39,8 +41,8 @@ END_ID = 2
 LIMIT = 18
 #: Ids in a block, about, and between two checkpoints.
 BLOCK, CHECKPOINT = 1 << 18, 128
-#: Bytes of ids in a file before coding, about.
-FILE_BYTES = 32 << 20
+#: Bytes of text in a file, about, and files at most: beyond, files grow, and the driver's list of them doesn't.
+FILE_BYTES, FILES = 32 << 20, 1 << 15
 BLOCK_TYPE = "file int, block int, doc_ids array<long>, sizes array<long>, offsets array<int>, payload binary"
 
 
@@ -138,7 +140,7 @@ def unpack_bits(payload: bytes, starts: np.ndarray, count: int, ids_of: np.ndarr
 def ranges(docs: DataFrame) -> list[int]:
     """doc_ids at which new files begin: as many files as the texts' bytes ask for, from doc_ids alone."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-int(total) // FILE_BYTES))
+    files = min(FILES, max(1, -(-int(total) // FILE_BYTES)))
     if files == 1:
         return []
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / files for i in range(1, files)], 0.1 / files)
@@ -164,8 +166,7 @@ def id_counts(tokens: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
     def run(batches):
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for one in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(one.as_buffer(), "<u2"), minlength=vocabulary)
+            counts += np.bincount(flat(batch.column("ids"))[0].view("<u2"), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
 
@@ -265,9 +266,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             crc = [zlib.crc32(np.frombuffer(i.as_buffer(), "<u2").astype("<u4").tobytes()) for i in batch.column("ids")]
-            sizes, place = np.asarray(batch.column("n_tokens")), np.asarray(batch.column("place"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "block", "place", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "file", "block", "place", "n_tokens", "ids_crc32"])
-            del sizes, place
 
     rows = read(spark, path).mapInArrow(run, "doc_id long, file int, block int, place int, n_tokens long, ids_crc32 long")
     before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
