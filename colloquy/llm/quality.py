@@ -5,12 +5,13 @@ neighbours over the whole corpus.  A document is the mean and the spread of its
 these is fitted on labelled rows, and its temperature on labelled rows kept apart from the fit.
 
 Scale: word vectors live in ``BUCKETS`` rows by the hash of the word, so that their table has one size (4 MB) for any
-corpus; tasks add up their own table and ship its rows once each.  The network is fitted on the driver on at most
+corpus.  Words of one row share the sum of their neighbours' index vectors, which are each word's own; the README says what
+that costs.  Sums are of whole numbers, the same in any order.  Tasks add up their own table and ship its rows once each.  The network is fitted on the driver on at most
 ``FIT_ROWS`` labelled documents (those whose doc_id hashes lowest).  Texts are read twice and never shuffled.
 
 Defined cases: null and empty texts are documents without words, with all-zero features, and get the network's score for
 these; rows without a label, or with a null one, only add to the word vectors; a doc_id labelled twice counts as good if
-any of its labels is; with no labels, or only one kind, all scores are the share of good labels (0.5 without any); a null
+any of its labels is, and of rows with one labelled doc_id one is learned from; with no labels, or only one kind, all scores are the share of good labels (0.5 without any); a null
 doc_id is scored and can't be labelled; equal rows get equal scores; an empty table gives an empty one; other input
 columns pass through ``filter_quality`` and are ignored by ``scores``.
 """
@@ -42,52 +43,59 @@ KIND = np.where(SPACE, 0, 2)
 KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket and the row of each word and each run of punctuation, in order."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the row of each word and each run of punctuation, in order."""
     kind = KIND[data]
     a, b = spans(kind == 1, offsets), spans(kind == 2, offsets)
     start, row = np.concatenate([a[0], b[0]]), np.concatenate([a[2], b[2]])
     end = np.concatenate([a[1], b[1]])
     order = np.argsort(start, kind="stable")
-    return (span_hashes(data, start[order], end[order]) % np.uint64(BUCKETS)).astype(np.int64), row[order]
+    return span_hashes(data, start[order], end[order]), row[order]
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the ones in each bucket's index vector."""
-    h = mix(np.arange(BUCKETS * ONES, dtype=np.uint64) + np.uint64(SEED)).reshape(BUCKETS, ONES)
-    return (h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+def bucket_of(word: np.ndarray) -> np.ndarray:
+    return (word % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def index_vectors(word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions and signs of the ONES ones in each word's index vector, drawn from its hash."""
+    drawn = [mix(word + np.uint64(SEED + k)) for k in range(ONES)]
+    return [((h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)) for h in drawn]
+
+
+def rows_of(table: np.ndarray) -> pa.RecordBatch:
+    """The rows of whole numbers that aren't all zero."""
+    used = np.flatnonzero(table.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([table[i].tobytes() for i in used], pa.binary())], ["bucket", "vector"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors by bucket, from all texts: BUCKETS x WIDTH."""
 
     def add_up(batches):
-        position, sign = index_vectors()
         table = np.zeros(BUCKETS * WIDTH)
         for batch in batches:
             for part in slices(batch, "text"):
-                word, row = buckets(*flat(part.column("text")))
+                word, row = tokens(*flat(part.column("text")))
+                place, drawn = bucket_of(word) * WIDTH, index_vectors(word)
                 for far in range(1, REACH + 1):
                     near = np.flatnonzero(row[far:] == row[:-far]) if len(row) > far else np.zeros(0, np.int64)
-                    for a, b in ((word[near], word[near + far]), (word[near + far], word[near])):
-                        for k in range(ONES):
-                            table += np.bincount(a * WIDTH + position[b, k], sign[b, k], BUCKETS * WIDTH)
-        table = table.reshape(BUCKETS, WIDTH).astype("<f4")
-        used = np.flatnonzero(table.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([table[i].tobytes() for i in used], pa.binary())], ["bucket", "vector"])
+                    for a, b in ((near, near + far), (near + far, near)):
+                        for position, sign in drawn:
+                            table += np.bincount(place[a] + position[b], sign[b], BUCKETS * WIDTH)
+        yield rows_of(table.reshape(BUCKETS, WIDTH).astype("<i8"))
 
     def total(batches):
-        table = np.zeros((BUCKETS, WIDTH))
+        table = np.zeros((BUCKETS, WIDTH), np.int64)
         for batch in batches:
-            np.add.at(table, np.asarray(batch.column("bucket")), np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<f4").reshape(-1, WIDTH))
-        used = np.flatnonzero(table.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([table[i].astype("<f4").tobytes() for i in used], pa.binary())], ["bucket", "vector"])
+            np.add.at(table, np.asarray(batch.column("bucket")), np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<i8").reshape(-1, WIDTH))
+        yield rows_of(table)
 
     kind = "bucket int, vector binary"
     rows = docs.select("text").mapInArrow(add_up, kind).repartition("bucket").mapInArrow(total, kind).collect()  # BUCKETS rows at most
     out = np.zeros((BUCKETS, WIDTH), np.float32)
     for r in rows:
-        out[r.bucket] = np.frombuffer(r.vector, "<f4")
+        out[r.bucket] = np.frombuffer(r.vector, "<i8")
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -96,8 +104,8 @@ def features(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.n
 
     A row's sums run over it from its start in steps that don't depend on the rows around it.
     """
-    word, row = buckets(data, offsets)
-    rows = len(offsets) - 1
+    word, row = tokens(data, offsets)
+    word, rows = bucket_of(word), len(offsets) - 1
     counts = np.bincount(row, minlength=rows)
     ends = np.concatenate([[0], np.cumsum(counts)])
     sums = np.zeros((rows, 2 * WIDTH + 2 * LAGS))
@@ -184,15 +192,15 @@ def fitted(docs: DataFrame, labels: DataFrame, vectors) -> Network | Constant:
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
     known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     known = known.select(F.col("doc_id").alias("_labelled"), "_good", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("_apart"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_labelled")).select("text", "_good", "_apart")  # FIT_ROWS rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_labelled")).select("_labelled", "text", "_good", "_apart")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 x = features(*flat(part.column("text")), vectors.value).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("_good").cast(pa.int32()), part.column("_apart")], ["x", "good", "apart"])
+                yield pa.RecordBatch.from_arrays([part.column("_labelled").cast(pa.int64()), pa.array([r.tobytes() for r in x], pa.binary()), part.column("_good").cast(pa.int32()), part.column("_apart")], ["id", "x", "good", "apart"])
 
-    got = rows.mapInArrow(run, "x binary, good int, apart boolean").collect()
+    got = rows.mapInArrow(run, "id long, x binary, good int, apart boolean").groupBy("id").agg(F.min(F.struct("x", "good", "apart")).alias("r")).select("r.*").collect()  # a row for each of FIT_ROWS ids at most
     got.sort(key=lambda r: r.x)
     y = np.array([float(r.good) for r in got])
     if not len(y) or y.min() == y.max():
