@@ -47,6 +47,8 @@ class SearchRequest:
         for bound in (self.where.after, self.where.before):
             if bound is not None and not DATE.match(bound):
                 raise ValueError("dates are YYYY-MM-DD")
+        if "" in (self.where.project, self.where.session_id):
+            raise ValueError("a project or session has a name")
         if self.where.harness not in (None, "claude", "codex"):
             raise ValueError("a harness is claude or codex")
 

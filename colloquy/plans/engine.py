@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashEmbedder, embed_exchanges
-from ..functions.text import embedded_text, snippet, transcript_text
+from ..functions.text import snippet, transcript_text
 from ..operators import bm25, filters, fusion, knn, lifecycle
 from ..operators.filters import SearchFilter, SearchRequest
 from ..operators.fold import fold_a, fold_b
@@ -20,7 +20,8 @@ from ..schema import CANDIDATES, DEFAULT_HARNESS, Config
 from ..sources import archive, transcripts
 from . import printed
 
-INDEX_VERSION = 1
+#: The setting that holds the first id that isn't indexed, by the version of the analyser.
+TEXT_CURSOR = "text_cursor_v1"
 
 
 @dataclass
@@ -51,7 +52,11 @@ class Engine:
 
     def index(self) -> bm25.TextIndex:
         """The stored postings, with those of exchanges that came after them made on the way."""
-        return read_index(self.spark, self.config.root) or bm25.build(bm25.exchange_documents(self.store.read("exchanges")))
+        known = self.store.opened()
+        stored = bm25.TextIndex(self.store.read("postings", known), self.store.read("lengths", known))
+        fresh = self.store.read("exchanges", known).filter(F.col("id") >= (known["meta"].get(TEXT_CURSOR) or 0))
+        made = bm25.build(bm25.exchange_documents(fresh))
+        return bm25.TextIndex(stored.postings.unionByName(made.postings), stored.lengths.unionByName(made.lengths))
 
     def search(self, request: SearchRequest) -> DataFrame:
         """Exchanges with score, similarity, vector_rank, text_rank and snippet, best first."""
@@ -108,91 +113,99 @@ class Engine:
         formats = transcripts.detect_formats(lines)
         by = lambda h: lines.join(formats.filter(F.col("harness") == h), "path", "left_semi")
         parsed = fold_a(by("claude"), now).unionByName(fold_b(by("codex"), now))
-        first = parsed.groupBy("archive_path").agg(F.min_by("project", "line_start").alias("project"), F.first("harness").alias("harness"))
-        for r in first.toLocalIterator():
-            copy = archive.archive_path(self.config.archive, r.harness, r.project, r.archive_path)
-            out.files_copied += archive.copy_if_changed(r.archive_path, copy)
-        out.exchanges_inserted = self.store.insert(parsed, self.vectors_of(parsed))
-        self.expire(out, cutoff)
+        # New exchanges are written by the insert; what has been stored says where files belong.
+        out.exchanges_inserted = self.store.insert(parsed, lambda new: embed_exchanges(new, self.embedder))
+        out.files_copied = self.copy_files(lifecycle.recent_files(listing, cutoff))
+        self.expire(out, cutoff, listing)
         out.vectors_rebuilt = bool(out.exchanges_inserted or out.exchanges_expired)
         self.sync_text(out)
         if summarisers:
             self.summarise(out, now_ms, listing, summarisers)
+        if self.store.acquire():
+            try:
+                self.store.vacuum()
+            finally:
+                self.store.release()
         return out
 
-    def vectors_of(self, parsed: DataFrame) -> DataFrame:
-        embedder = self.embedder
-        texts = parsed.filter("not coalesce(is_sidechain, false)").select(
-            "archive_path", "line_start", "line_end", embedded_text(F.col("user_message"), F.col("assistant_message")).alias("text")
-        )
+    def talks(self) -> DataFrame:
+        """Conversations with ``copy_path``, where their transcript's copy is or would be."""
+        talks = lifecycle.conversations(self.store.read("exchanges"))
+        return talks.withColumn("copy_path", archive.archive_path_column(self.config.archive, F.col("harness"), F.col("project"), F.col("archive_path")))
+
+    def copies(self) -> DataFrame:
+        """copy_path, copy_mtime_ms of the copies that are there."""
+        found = transcripts.listed(self.spark, [self.config.archive], "*.gz")
+        return found.select(F.col("path").alias("copy_path"), F.col("mtime_ms").alias("copy_mtime_ms"))
+
+    def copy_files(self, listing: DataFrame) -> int:
+        """Copies, in the tasks, the transcripts of conversations whose copy isn't there or of another time."""
+        known = self.talks().select("archive_path", "copy_path").join(listing, F.col("archive_path") == F.col("path")).join(self.copies(), "copy_path", "left")
+        changed = known.filter("copy_mtime_ms is null or copy_mtime_ms <> mtime_ms").select("archive_path", "copy_path")
 
         def run(frames):
             for f in frames:
-                yield f.drop(columns="text").assign(embedding=list(embedder.embed(f.text.fillna("").tolist())))
+                yield f.assign(n=[int(archive.copy_if_changed(a, b)) for a, b in zip(f.archive_path, f.copy_path, strict=True)])[["n"]]
 
-        return texts.mapInPandas(run, "archive_path string, line_start long, line_end long, embedding array<float>")
+        return changed.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def migrate_vectors(self) -> bool:
-        """Embeds everything anew if the vectors are another embedder's; the embedder is recorded last."""
+        """Embeds everything anew if the vectors are another embedder's; vectors and embedder are published together."""
         if self.store.meta_get("embedder") == self.embedder.name:
             return False
-        exchanges = self.store.read("exchanges")
-        if self.store.version("exchanges") is not None:
-            self.store.replace_vectors(embed_exchanges(exchanges, self.embedder))
-        self.store.meta_put("embedder", self.embedder.name)
+        with self.store.writing():
+            exchanges = self.store.read("exchanges", self.store.manifest())
+            self.store.replace_vectors(embed_exchanges(exchanges, self.embedder), embedder=self.embedder.name)
         return True
 
-    def expire(self, out: SyncResult, cutoff: int | None) -> None:
+    def expire(self, out: SyncResult, cutoff: int | None, listing: DataFrame) -> None:
         if cutoff is None:
             return
         if not self.store.acquire():
             out.expiry_skipped = True
             return
         try:
-            talks = lifecycle.conversations(self.store.read("exchanges"))
-            paths = talks.select("archive_path", "harness", "project").collect()  # one row for each transcript file
-            stat = lambda p: int(os.stat(p).st_mtime * 1000) if os.path.exists(p) else None
-            copies = {r.archive_path: archive.archive_path(self.config.archive, r.harness, r.project, r.archive_path) for r in paths}
-            rows = [(p, stat(c), stat(p)) for p, c in copies.items()]
-            known = self.spark.createDataFrame(rows, "archive_path string, copy_mtime_ms long, source_mtime_ms long")
-            gone = lifecycle.expired(talks, known, cutoff)
-            lost = [r.archive_path for r in gone.select("archive_path").collect()]
+            talks = self.talks()
+            files = talks.select("archive_path", "copy_path").join(self.copies(), "copy_path", "left")
+            files = files.join(listing.select(F.col("path").alias("archive_path"), F.col("mtime_ms").alias("source_mtime_ms")), "archive_path", "left")
+            gone = lifecycle.expired(talks.drop("copy_path"), files, cutoff)
+            lost = gone.select("copy_path").collect()  # what this sync forgets
             if lost:
                 out.exchanges_expired = self.store.delete(lifecycle.expired_ids(gone))
                 out.conversations_expired = len(lost)
-                for p in lost:
-                    for f in (copies[p], archive.summary_path(copies[p])):
+                for r in lost:
+                    for f in (r.copy_path, archive.summary_path(r.copy_path)):
                         if os.path.exists(f):
                             os.remove(f)
         finally:
             self.store.release()
 
     def sync_text(self, out: SyncResult) -> None:
-        """Indexes exchanges after the text cursor; skips, and leaves the cursor, where another writer is at it."""
+        """Indexes exchanges after the text cursor; skips, and leaves the cursor, where another writer is at it.
+
+        Postings are appended, and published with the cursor; nothing is written where nothing is new.
+        """
         if not self.store.acquire():
             out.text_skipped = True
             return
         try:
-            key = f"text_cursor_v{INDEX_VERSION}"
-            cursor = self.store.meta_get(key) or 0
-            old = read_index(self.spark, self.config.root)
-            exchanges = self.store.read("exchanges")
-            if old is None and cursor:
+            known = self.store.manifest()
+            cursor = known["meta"].get(TEXT_CURSOR) or 0
+            if cursor and not known["tables"].get("lengths"):
                 cursor, out.text_rebuilt = 0, True
-            fresh = exchanges.filter(F.col("id") >= cursor)
-            out.text_indexed = fresh.count()
-            write_index(self.config.root, old, bm25.build(bm25.exchange_documents(fresh)), exchanges.select("id"))
-            top = exchanges.agg(F.max("id")).first()[0]
-            self.store.meta_put(key, 0 if top is None else top + 1)
+            fresh = self.store.read("exchanges", known).filter(F.col("id") >= cursor)
+            out.text_indexed, top = fresh.agg(F.count("*"), F.max("id")).first()
+            if out.text_indexed:
+                made = bm25.build(bm25.exchange_documents(fresh))
+                self.store.publish(append={"postings": made.postings, "lengths": made.lengths}, meta={TEXT_CURSOR: top + 1})
         finally:
             self.store.release()
 
     def summarise(self, out: SyncResult, now_ms: int, listing: DataFrame, summarisers: dict[str, Callable[[str], str]]) -> None:
         exchanges = self.store.read("exchanges")
-        talks = lifecycle.conversations(exchanges).join(listing.select(F.col("path").alias("archive_path"), F.col("mtime_ms").alias("source_mtime_ms")), "archive_path")
-        rows = talks.select("archive_path", "harness", "project").collect()
-        copy = lambda r: archive.archive_path(self.config.archive, r["harness"], r["project"], r["archive_path"])
-        states = self.spark.createDataFrame([(r.archive_path, archive.read_summary(archive.summary_path(copy(r))).kind) for r in rows], "archive_path string, kind string")
+        talks = self.talks().join(listing.select(F.col("path").alias("archive_path"), F.col("mtime_ms").alias("source_mtime_ms")), "archive_path")
+        states = transcripts.read_files(self.spark, [self.config.archive], "*-summary.txt").select(F.col("path").alias("_summary"), archive.kind_column(F.col("text")).alias("kind"))
+        states = talks.select("archive_path", archive.summary_path_column(F.col("copy_path")).alias("_summary")).join(states, "_summary").select("archive_path", "kind")
         picked = [r.asDict() for r in lifecycle.summary_candidates(talks, states, now_ms, self.config.summary_limit).collect()]
 
         def transcript(c: dict) -> str:
@@ -200,7 +213,7 @@ class Engine:
             row = exchanges.filter(F.col("archive_path") == c["source"]).groupBy().agg(turns.alias("turns")).select(transcript_text(F.col("turns"))).first()
             return row[0] or ""
 
-        asked = [c | {"source": c["archive_path"], "archive_path": copy(c)} for c in picked]
+        asked = [c | {"source": c["archive_path"], "archive_path": c["copy_path"]} for c in picked]
         out.summaries_written, out.summaries_failed = archive.summarise(asked, transcript, summarisers)
 
 
@@ -226,33 +239,3 @@ def hybrid(exchanges: DataFrame, vectors: DataFrame, index: bm25.TextIndex, quer
     order = [F.round("score", 12).desc(), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("text_rank"), F.asc("id")]
     return F.broadcast(fused).join(shown, "id").orderBy(*order).limit(limit)  # 2 x ``depth`` rows are broadcast
 
-
-def index_path(root: str) -> str:
-    return f"{root}/text-v{INDEX_VERSION}"
-
-
-def read_index(spark: SparkSession, root: str) -> bm25.TextIndex | None:
-    try:
-        with open(f"{index_path(root)}.current") as f:
-            path = f"{index_path(root)}/{f.read().strip()}"
-    except FileNotFoundError:
-        return None
-    return bm25.TextIndex(
-        spark.read.schema("term string, id long, tf long, positions array<int>").parquet(f"{path}/postings"),
-        spark.read.schema("id long, dl long").parquet(f"{path}/lengths"),
-    )
-
-
-def write_index(root: str, old: bm25.TextIndex | None, new: bm25.TextIndex, ids: DataFrame) -> None:
-    """A new version of the index: of ``old`` the documents still there that ``new`` doesn't replace, and ``new``."""
-    postings, lengths = new.postings, new.lengths
-    if old is not None:
-        kept = ids.join(new.lengths.select("id"), "id", "left_anti")
-        postings = postings.unionByName(old.postings.join(kept, "id", "left_semi"))
-        lengths = lengths.unionByName(old.lengths.join(kept, "id", "left_semi"))
-    version = f"v{time.time_ns():020d}"
-    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{index_path(root)}/{version}/postings")
-    lengths.write.parquet(f"{index_path(root)}/{version}/lengths")
-    with open(f"{index_path(root)}.part", "w") as f:
-        f.write(version)
-    os.replace(f"{index_path(root)}.part", f"{index_path(root)}.current")

@@ -13,7 +13,9 @@ EXCHANGE = (
 )
 VECTOR = "id long, embedding array<float>"
 CURSOR = "source_path string, line_end long"
-META = "key string, value string"
+POSTING = "term string, id long, tf long, positions array<int>"
+LENGTH = "id long, dl long"
+DELETED = "id long"
 
 #: Fixed values of the engine's behaviour.
 RRF_K = 60

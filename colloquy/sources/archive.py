@@ -1,6 +1,6 @@
 """Copies of transcripts and summary files beside them.
 
-Both are whole files that people open, kept by the driver: <root>/<harness>/<project>/<name>.gz and <name>-summary.txt.
+Both are whole files that people open: <root>/<harness>/<project>/<name>.gz and <name>-summary.txt.
 """
 
 from __future__ import annotations
@@ -66,6 +66,12 @@ def state_of(raw: str | None) -> SummaryState:
     return SummaryState("valid", text)
 
 
+def kind_column(raw: Column) -> Column:
+    """The kind of state that a summary file's text says."""
+    text = F.trim(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    return F.when(text == "", "empty").when(text.startswith(ERROR_PREFIX), "error").otherwise("valid")
+
+
 def read_summary(path: str) -> SummaryState:
     try:
         with open(path, encoding="utf-8") as f:

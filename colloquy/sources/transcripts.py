@@ -28,8 +28,23 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return there
 
 
-def read_files(spark: SparkSession, folders: list[str], pattern: str = "*.jsonl*", modified_after: str | None = None) -> DataFrame:
-    """path, mtime_ms, text for all transcripts below the folders; folders that aren't there give nothing."""
+def file_path() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+
+
+def listed(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:
+    """path, mtime_ms of the files below the folders, which aren't read."""
+    folders = existing(spark, folders)
+    if not folders:
+        return spark.createDataFrame([], "path string, mtime_ms long")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folders)
+    return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"))
+
+
+def read_files(spark: SparkSession, folders: list[str], pattern: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
+    """path, mtime_ms, text for all transcripts below the folders; folders that aren't there give nothing.
+
+    A file is one row, so it is below 2 GB."""
     folders = existing(spark, folders)
     kind = "path string, mtime_ms long, text string"
     if not folders:
@@ -39,7 +54,7 @@ def read_files(spark: SparkSession, folders: list[str], pattern: str = "*.jsonl*
         reader = reader.option("modifiedAfter", modified_after)
     found = reader.text(folders, wholetext=True)
     return found.select(
-        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"),
+        file_path().alias("path"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"),
         F.col("value").alias("text"),
     )

@@ -80,7 +80,7 @@ def test_substring_scan(spark):
 
 
 def test_requests():
-    for bad in ({"query": "x"}, {"query": ("ab",)}, {"query": "ab", "limit": 0}, {"query": "ab", "mode": "fast"}, {"query": "ab", "where": SearchFilter(after="today")}):
+    for bad in ({"query": "x"}, {"query": ("ab",)}, {"query": "ab", "limit": 0}, {"query": "ab", "mode": "fast"}, {"query": "ab", "where": SearchFilter(after="today")}, {"query": "ab", "where": SearchFilter(project="")}, {"query": "ab", "where": SearchFilter(session_id="")}):
         with pytest.raises(ValueError):
             SearchRequest(**bad)
     assert SearchRequest("ab").limit == 10
