@@ -30,6 +30,7 @@ def texts():
     rows += [(40, "", "en", "s0"), (41, None, None, None), (42, "one two", "en", "s1"), (43, " \t\n", "en", "s1"), (44, long, "en", "s0")]
     rows += [(50 + i, passage(200 + i, 15) + "\n" + shared + " " + passage(300 + i, 15), "en", "s2") for i in range(5)]
     rows += [(60 + i, rows[3][1], "en", "s0") for i in range(4)] + [(70, rows[3][1].upper(), "fr", "s1"), (71, "word " * 90, "fr", "s1")]
+    rows += [(45, "marked <|endoftext|> text", "en", "s1"), (46, passage(8, 30) + " " + "z" * 5000, "en", "s0")]
     rows += [(72, long + " end", "fr", "s1"), (80, passage(9, 50), "en", "s1"), (80, passage(9, 50), "en", "s1")]
     return rows
 
@@ -246,7 +247,6 @@ def plain_ids(name):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokenizer_path(name))
-    tool.encode_special_tokens = True
     return lambda text: [*tool.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -359,6 +359,15 @@ def test_media(spark, docs, none):
         f = found[r.digest]
         assert (r.n_bytes, f.payload_bytes, f.payload_sha256, f.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert (shapes[r.digest].width, shapes[r.digest].height) == (64, len(padded) // 64)
+        plain = b"".join(b"\0" + padded[i : i + 64] for i in range(0, len(padded), 64))
+        head = struct.pack(">IIBBBBB", 64, len(padded) // 64, 8, 0, 0, 0, 0)
+        png = b"\x89PNG\r\n\x1a\n"
+        for kind, body in ((b"IHDR", head), (b"IDAT", zlib.compress(plain, 6)), (b"IEND", b"")):
+            png += struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        assert (f.media_bytes, f.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        steps = sum(abs(padded[i] - padded[i - 1]) for i in range(1, len(padded)) if i % 64)
+        histogram = zlib.crc32(struct.pack("<256q", *(padded.count(b) for b in range(256))))
+        assert f.feature == f"64x{len(padded) // 64} sum={sum(padded)} distinct={len(set(padded))} steps={steps} histogram={histogram:08x}"
     import tarfile
 
     shard = stored.first().shard
@@ -441,6 +450,40 @@ def test_quality(spark, none):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect() if r.doc_id in held} >= {i for i in held if got[i] >= 0.3}
     assert quality.scores(none, labels).count() == 0
     assert {r.score for r in quality.scores(d, labels.filter("false")).collect()} == {0.5}
+    assert quality.filter_quality(none, labels).count() == 0
+    again = quality.scores(d.repartition(7).union(d.filter("doc_id = 0")), labels).collect()
+    assert {r.doc_id: r.score for r in again}.keys() == got.keys()
+
+
+def test_quality_features_equal_plain_ones(spark):
+    """Word vectors and features from loops over words, with the module's hashes of words alone."""
+    import re
+
+    import pyarrow as pa
+
+    from colloquy.llm.bytewords import flat
+
+    rows = [passage(i, 30).replace(" a", ", a!") for i in range(20)] + ["", None, "one", "é漢 one-two"]
+    cut = [re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^\x20\x09-\x0d0-9A-Za-z\x80-\xff]+", (r or "").encode()) for r in rows]
+    hashes = {w: int(quality.tokens(*flat(pa.array([w], pa.binary())))[0][0]) for c in cut for w in c}
+    table = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for c in cut:
+        for i, w in enumerate(c):
+            for j in range(max(0, i - quality.REACH), min(len(c), i + quality.REACH + 1)):
+                if j != i:
+                    for position, sign in quality.index_vectors(np.array([hashes[c[j]]], np.uint64)):
+                        table[hashes[w] % quality.BUCKETS, position[0]] += sign[0]
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    vectors = quality.word_vectors(frame(spark, [(i, r, "en", "s") for i, r in enumerate(rows)]).repartition(3))
+    assert np.abs(vectors - table).max() < 1e-6
+    got = quality.features(*flat(pa.array(rows)), vectors)
+    for c, x in zip(cut, got, strict=True):
+        v = np.array([table[hashes[w] % quality.BUCKETS] for w in c]).reshape(-1, quality.WIDTH)
+        n = max(1, len(c))
+        want = [*(v.sum(0) / n), *np.sqrt(np.maximum((v * v).sum(0) / n - (v.sum(0) / n) ** 2, 0))]
+        for lag in (1, 2):
+            want += [sum(v[i] @ v[i + lag] for i in range(len(c) - lag)) / n, sum(hashes[c[i]] == hashes[c[i + lag]] for i in range(len(c) - lag)) / n]
+        assert np.abs(x - want).max() < 1e-4
 
 
 def test_toxicity(spark, none):
@@ -590,5 +633,33 @@ def test_url_threshold():
     assert url_filter.threshold([(-10, 0, 5), (-2, 1, 4), (4, 6, 0)]) == pytest.approx(1.5 / url_filter.STEPS)
 
 
+def test_encoder_takes_any_number_of_pretokens(monkeypatch):
+    """More distinct pre-tokens than the table keeps, in one text that is worked through in parts."""
+    from tokenizers import Tokenizer
+
+    from colloquy.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 700)
+    monkeypatch.setattr(tokens, "SLOTS", 1 << 11)
+    monkeypatch.setattr(tokens, "GROUP", 500)
+    monkeypatch.setattr(tokens, "PART", 3000)
+    rng = random.Random(12)
+    long = " ".join(f"w{i}x{rng.choice(['', 'é', '!', ' ', chr(0x3000)])}" for i in range(6000)) + " " + "y" * 9000
+    rows = ["a b", long, "", "c <|endoftext|> d", long[:40000], "z"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        tool, library = tokens.Encoder(tokenizer_path(name), spaced, added=True), Tokenizer.from_file(tokenizer_path(name))
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        ids, sizes = tool.encode(data, np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])]))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [library.encode(r, add_special_tokens=False).ids for r in rows]
+
+
+def test_encoder_ends_on_millions_of_pretokens():
+    words = " ".join(f"w{i:x}" for i in range(2_500_000))
+    data = np.frombuffer(words.encode(), np.uint8)
+    ids, sizes = encoder(tokenizer_path("word_bpe_49k.json"), False).encode(data, np.array([0, len(data)]))
+    assert len(ids) == sizes.sum() > 2_500_000
+
+
 def test_encoder_is_kept():
     assert encoder(tokenizer_path("byte_bpe_50k.json"), True) is encoder(tokenizer_path("byte_bpe_50k.json"), True)
