@@ -66,7 +66,9 @@ def raw_terms(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, 2))
         return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    return F.filter(F.flatten(F.transform(runs, split)), lambda t: F.octet_length(t) < TOKEN_BYTES)
+    # Few texts have such a script, and only theirs are looked at run by run.
+    words = F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, split))).otherwise(runs)
+    return F.filter(words, lambda t: F.octet_length(t) < TOKEN_BYTES)
 
 
 def with_terms(rows: DataFrame, text: Column, stemmed: bool = True) -> DataFrame:

@@ -8,11 +8,14 @@ scan, and are joined to nothing larger than the documents that hold them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Clause, Group, document_text, parse_query, with_terms
+from ..schema import LENGTH, POSTING
 
 K1, B = 1.2, 0.75
 
@@ -38,6 +41,14 @@ def build(documents: DataFrame, text: Column | str = "text", stemmed: bool = Tru
     return TextIndex(postings, words.select("id", F.size("terms").cast("long").alias("dl")))
 
 
+def written(index: TextIndex, path: str) -> TextIndex:
+    """The index as files, postings in the order of their terms."""
+    spark = index.postings.sparkSession
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    index.lengths.write.parquet(f"{path}/lengths")
+    return TextIndex(spark.read.schema(POSTING).parquet(f"{path}/postings"), spark.read.schema(LENGTH).parquet(f"{path}/lengths"))
+
+
 def exchange_documents(exchanges: DataFrame) -> DataFrame:
     return exchanges.select("id", document_text(F.col("user_message"), F.col("assistant_message")).alias("text"))
 
@@ -53,47 +64,70 @@ def back_by(i: int):
     return lambda position: position - i
 
 
+def phrases_of(group: Group) -> list[tuple[str, ...]]:
+    """The terms of all clauses of a query, once each."""
+    out: dict[tuple[str, ...], None] = {}
+    for c in group.clauses:
+        out |= dict.fromkeys([c.terms] if isinstance(c, Clause) else phrases_of(c))
+    return list(out)
+
+
+def clause_frequencies(index: TextIndex, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """id and f0, f1, ...: how often a document has each term, or the terms of each phrase in adjacent places.
+
+    One pass over the postings of the terms asked, for the documents that hold any of them.
+    """
+    terms = sorted({t for p in phrases for t in p})
+    placed = {t for p in phrases if len(p) > 1 for t in p}
+    one = lambda t, what: F.max(F.when(F.col("term") == t, F.col(what)))
+    lists = [one(t, "positions").alias(f"p{terms.index(t)}") for t in sorted(placed)]
+    counts = [F.coalesce(one(t, "tf"), F.lit(0)).alias(f"t{terms.index(t)}") for t in terms]
+    held = index.postings.filter(F.col("term").isin(*terms)).groupBy("id").agg(*counts, *lists)
+
+    def frequency(phrase: tuple[str, ...]) -> Column:
+        if len(phrase) == 1:
+            return F.col(f"t{terms.index(phrase[0])}")
+        here = F.col(f"p{terms.index(phrase[0])}")
+        for i, t in enumerate(phrase[1:], 1):
+            here = F.array_intersect(here, F.transform(f"p{terms.index(t)}", back_by(i)))
+        return F.coalesce(F.greatest(F.size(here), F.lit(0)), F.lit(0)).cast("long")
+
+    return held.select("id", *[frequency(p).alias(f"f{i}") for i, p in enumerate(phrases)], *[F.col(f"t{i}") for i in range(len(terms))])
+
+
 def clause_matches(index: TextIndex, phrase: tuple[str, ...]) -> DataFrame:
     """id, tf: documents with the term, or with the terms of a phrase in adjacent places."""
-    if len(phrase) == 1:
-        return index.postings.filter(F.col("term") == phrase[0]).select("id", "tf")
-    held = index.postings.filter(F.col("term").isin(*set(phrase)))
-    lists = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(phrase)]
-    both = held.groupBy("id").agg(*lists)
-    here = F.col("p0")
-    for i in range(1, len(phrase)):
-        here = F.array_intersect(here, F.transform(f"p{i}", back_by(i)))
-    return both.withColumn("tf", F.size(here).cast("long")).filter("tf > 0").select("id", "tf")
-
-
-def clause_scores(index: TextIndex, phrase: tuple[str, ...], times: int, stats: DataFrame) -> DataFrame:
-    """id, score of one clause that is asked ``times`` times; a phrase counts as a term of its own with its parts' weights."""
-    found = clause_matches(index, phrase)
-    frequency = index.postings.filter(F.col("term").isin(*set(phrase))).groupBy("term").agg(F.count("*").alias("df"))
-    n, df = F.col("n"), F.col("df")
-    weight = frequency.crossJoin(F.broadcast(stats)).agg(F.sum(F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("w"), F.first("avgdl").alias("avgdl"))  # one row of statistics
-    tf, dl = F.col("tf"), F.col("dl")
-    score = F.col("w") * times * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return found.join(index.lengths, "id").crossJoin(F.broadcast(weight)).select("id", score.alias("score"))
-
-
-def group_scores(index: TextIndex, group: Group, stats: DataFrame) -> DataFrame:
-    """id, score of the documents that satisfy a group of clauses."""
-    simple: dict[tuple[tuple[str, ...], str], int] = {}
+    return clause_frequencies(index, [phrase]).select("id", F.col("f0").alias("tf")).filter("tf > 0")
+
+
+def satisfied(group: Group, phrases: list[tuple[str, ...]], score: list[Column]) -> tuple[Column, Column]:
+    """Whether a document satisfies a group of clauses, and the sum of what its clauses score, those that exclude left out."""
+    parts = []
     for c in group.clauses:
         if isinstance(c, Clause):
-            simple[c.terms, c.occur] = simple.get((c.terms, c.occur), 0) + 1
-    parts = [(how, clause_scores(index, words, times, stats)) for (words, how), times in simple.items()]
-    parts += [(c.occur, group_scores(index, c, stats)) for c in group.clauses if isinstance(c, Group)]
-    must, should, never = ([df for how, df in parts if how == kind] for kind in ("must", "should", "not"))
-    empty = index.lengths.filter("false").select("id", F.lit(0.0).alias("score"))
-    counted = empty.withColumn("_must", F.lit(0))
-    for df, needed in [(d, 1) for d in must] + [(d, 0) for d in should]:
-        counted = counted.unionByName(df.withColumn("_must", F.lit(needed)))
-    out = counted.groupBy("id").agg(F.sum("score").alias("score"), F.sum("_must").alias("_must")).filter(F.col("_must") == len(must)).select("id", "score")
-    for df in never:
-        out = out.join(df.select("id"), "id", "left_anti")
-    return out
+            i = phrases.index(c.terms)
+            parts.append((c.occur, F.col(f"f{i}") > 0, score[i]))
+        else:
+            parts.append((c.occur, *satisfied(c, phrases, score)))
+    must, should, never = ([p for p in parts if p[0] == kind] for kind in ("must", "should", "not"))
+    wanted = reduce(and_, [m for _, m, _ in must]) if must else reduce(or_, [m for _, m, _ in should], F.lit(False))
+    fits = reduce(and_, [~m for _, m, _ in never], wanted)
+    return fits, reduce(add, [F.when(m, s).otherwise(F.lit(0.0)) for _, m, s in must + should], F.lit(0.0))
+
+
+def boolean_scores(index: TextIndex, asked: Group, stats: DataFrame) -> DataFrame:
+    """id, score of the documents that satisfy a query; a phrase counts as a term of its own with its parts' weights."""
+    phrases = phrases_of(asked)
+    terms = sorted({t for p in phrases for t in p})
+    found = clause_frequencies(index, phrases)
+    known = index.postings.filter(F.col("term").isin(*terms)).agg(*[F.count_if(F.col("term") == t).alias(f"d{i}") for i, t in enumerate(terms)])
+    n, tf = F.col("n"), lambda i: F.col(f"f{i}")
+    weight = lambda t: F.log(1 + (n - F.col(f"d{terms.index(t)}") + 0.5) / (F.col(f"d{terms.index(t)}") + 0.5))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    score = [reduce(add, [weight(t) for t in p]) * tf(i) * (K1 + 1) / (tf(i) + norm) for i, p in enumerate(phrases)]
+    fits, total = satisfied(asked, phrases, score)
+    joined = found.join(index.lengths, "id").crossJoin(F.broadcast(known)).crossJoin(F.broadcast(stats))  # one row each
+    return joined.filter(fits).select("id", total.alias("score"))
 
 
 def prose_scores(index: TextIndex, words: dict[str, int], stats: DataFrame) -> DataFrame:
@@ -108,11 +142,14 @@ def prose_scores(index: TextIndex, words: dict[str, int], stats: DataFrame) -> D
     return joined.groupBy("id").agg(score.alias("score"))
 
 
-def search(index: TextIndex, query: str, limit: int, allowed: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
-    """id, score: the best of the documents whose ids are in ``allowed`` (None: of all), ties by id."""
+def search(index: TextIndex, query: str, limit: int | None, allowed: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    """id, score: the best of the documents whose ids are in ``allowed`` (None: of all), ties by id.
+
+    Without a limit all that match, in no order.
+    """
     asked = parse_query(query, stemmed)
     stats = index.statistics()
-    if not asked.clauses or limit <= 0:
+    if not asked.clauses or (limit is not None and limit <= 0):
         return index.lengths.filter("false").select("id", F.lit(0.0).alias("score"))
     if all(isinstance(c, Clause) and len(c.terms) == 1 and c.occur == "should" for c in asked.clauses):
         words: dict[str, int] = {}
@@ -120,7 +157,7 @@ def search(index: TextIndex, query: str, limit: int, allowed: DataFrame | None =
             words[c.terms[0]] = words.get(c.terms[0], 0) + 1
         scored = prose_scores(index, words, stats)
     else:
-        scored = group_scores(index, asked, stats)
+        scored = boolean_scores(index, asked, stats)
     if allowed is not None:
         scored = scored.join(allowed.select("id"), "id", "left_semi")
-    return scored.orderBy(F.desc("score"), "id").limit(limit)
+    return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)

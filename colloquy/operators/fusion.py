@@ -28,9 +28,8 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return best.groupBy("id").agg(score, *ranks)
 
 
-
-def in_order(fused: DataFrame) -> DataFrame:
-    return fused.orderBy(F.round("score", 12).desc(), F.asc_nulls_last("rank_0"), F.asc_nulls_last("rank_1"), "id")
+def in_order(fused: DataFrame, first: str = "rank_0", second: str = "rank_1") -> DataFrame:
+    return fused.orderBy(F.round("score", 12).desc(), F.asc_nulls_last(first), F.asc_nulls_last(second), "id")
 
 
 def union(lists: list[DataFrame]) -> DataFrame:

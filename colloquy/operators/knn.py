@@ -32,14 +32,15 @@ def of_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.filter(F.size("embedding") == dimension)
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, dimension: int | None = None) -> DataFrame:
-    """id, similarity of the k best of (id, embedding); a query of another dimension than asked for raises ValueError."""
+def top_k(vectors: DataFrame, query: list[float], k: int | None, dimension: int | None = None) -> DataFrame:
+    """id, similarity of the k best of (id, embedding), or of all, in no order, where k is None; a query of another dimension
+    than asked for raises ValueError."""
     if dimension is not None and len(query) != dimension:
         raise ValueError(f"the query has {len(query)} dimensions, the index {dimension}")
-    if k <= 0:
+    if k is not None and k <= 0:
         return vectors.filter("false").select("id", F.lit(0.0).alias("similarity"))
     near = of_dimension(vectors, len(query)).select("id", dot(F.col("embedding"), literal(query)).alias("similarity"))
-    return near.orderBy(F.desc("similarity"), "id").limit(k)
+    return near if k is None else near.orderBy(F.desc("similarity"), "id").limit(k)
 
 
 def top_k_each(vectors: DataFrame, queries: list[list[float]], k: int) -> DataFrame:

@@ -314,6 +314,10 @@ class Store:
         """One above every id that was ever given out: the manifest's, never below the rows'."""
         return max(self.meta_get("next_id") or 0, id_after(self.raw("exchanges", self.manifest())).first()[0])
 
+    def exchanges_from(self, first: int = 0) -> DataFrame:
+        """All live exchanges whose id is ``first`` or above."""
+        return self.read("exchanges").filter(F.col("id") >= first)
+
     def insert(self, parsed: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, use_cursors: bool = True) -> int:
         """Appends the exchanges whose last line is beyond their file's cursor; returns how many.
 

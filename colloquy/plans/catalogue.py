@@ -7,8 +7,12 @@ behaviour that those tables don't have.  Scores are rounded to six places, and e
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,10 @@ from ..functions.text import document_text, embedded_text, extract_summary, raw_
 from ..operators import bm25, filters, fusion, knn, lifecycle, store
 from ..operators.filters import SearchFilter
 from ..operators.fold import fold, fold_a, fold_b
+from ..schema import EXCHANGE, Config
 from ..sources import archive, transcripts
+from ..streaming import ingest
+from . import engine, printed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,11 +131,10 @@ def transcript_texts(spark, sf_dir):
     return whole.select("conv_id", transcript_text(F.col("turns"), 1000).alias("text"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn + 1 BETWEEN 2 AND 4 GROUP BY conv_id")
+@query("SELECT CAST(conv_id AS VARCHAR) AS path, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn + 1 BETWEEN 2 AND 4 GROUP BY conv_id")
 def read_lines(spark, sf_dir):
-    some = table(spark, sf_dir, "conversations").filter("turn + 1 between 2 and 4")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return some.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).cast("long").alias("line_no"), F.col("text").alias("line"))
+    return transcripts.text_between(lines, 2, 4)
 
 
 # Literal transcripts
@@ -195,30 +201,69 @@ def literal_lines(spark: SparkSession) -> DataFrame:
     return transcripts.lines_of(spark.createDataFrame(FILES, "path string, mtime_ms long, text string"))
 
 
-@query("SELECT * FROM (VALUES ('/s/alpha/one.jsonl', 'claude'), ('/s/2026/05/rollout-1.jsonl', 'codex'), ('/s/empty/none.jsonl', 'claude')) AS t(path, harness)")
+LINES_SQL = f"""
+WITH files AS (SELECT path, string_split(text, chr(10)) AS ls FROM {values([(p, t) for p, _, t in FILES], 'path, text')}),
+numbered AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM files),
+lines AS (SELECT path, line_no, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS v FROM numbered WHERE line <> ''),
+kinds AS (SELECT path, arg_min(coalesce((v->>'$.type') IN ('session_meta', 'turn_context', 'response_item', 'event_msg', 'compacted') AND (v->'$.payload') IS NOT NULL, false), line_no) AS other
+  FROM lines WHERE v IS NOT NULL GROUP BY path),
+formats AS (SELECT f.path, CASE WHEN coalesce(other, false) THEN 'codex' ELSE 'claude' END AS harness FROM files f LEFT JOIN kinds USING (path))
+"""
+
+
+@query(LINES_SQL + "SELECT path, harness FROM formats")
 def detect_format(spark, sf_dir):
     return transcripts.detect_formats(literal_lines(spark))
 
 
+FOLDED_SQL = """,
+numbered_turns AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS no FROM turns),
+folded AS (SELECT path, no, min(line_no) FILTER (role = 'user') AS line_start, max(line_no) FILTER (role = 'assistant') AS line_end, max(text) FILTER (role = 'user') AS user_message,
+  string_agg(text, chr(10) || chr(10) ORDER BY line_no) FILTER (role = 'assistant') AS assistant_message, arg_max(said_at, line_no) FILTER (role = 'assistant' AND said_at IS NOT NULL) AS timestamp
+  FROM numbered_turns WHERE no > 0 GROUP BY path, no HAVING count(*) FILTER (role = 'assistant') > 0)
+"""
+
+
 @query(
-    """SELECT 'alpha' AS project, 's1' AS session_id, 'main' AS git_branch, '2026-05-01T10:00:05Z' AS timestamp, 'How do I cache this?' AS user_message,
-  'Use a map.' || chr(10) || chr(10) || 'Or a table.' AS assistant_message, CAST(1 AS BIGINT) AS line_start, CAST(5 AS BIGINT) AS line_end, false AS user_is_injected"""
+    LINES_SQL
+    + """, said AS (SELECT path, line_no, v, (v->>'$.type') AS role, CASE WHEN json_type((v->'$.message.content')) = 'VARCHAR' THEN (v->>'$.message.content')
+    ELSE array_to_string(list_transform(list_filter(CAST((v->'$.message.content') AS JSON[]), lambda b: (b->>'$.type') = 'text' AND coalesce((b->>'$.text'), '') <> ''), lambda b: (b->>'$.text')), chr(10)) END AS text
+  FROM lines JOIN formats USING (path) WHERE harness = 'claude' AND (v->>'$.type') IN ('user', 'assistant') AND (v->'$.message') IS NOT NULL),
+turns AS (SELECT path, line_no, role, text, (v->>'$.timestamp') AS said_at FROM said WHERE trim(text) <> '' AND NOT coalesce(CAST((v->>'$.isCompactSummary') AS BOOLEAN), false))"""
+    + FOLDED_SQL
+    + """SELECT regexp_extract(f.path, '([^/]*)/[^/]*$', 1) AS project, (a.v->>'$.sessionId') AS session_id, (a.v->>'$.gitBranch') AS git_branch, f.timestamp, user_message, assistant_message,
+  CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, regexp_matches(user_message, '<(task-notification|command-name|system-reminder)>|<local-command') AS user_is_injected
+FROM folded f JOIN lines a ON a.path = f.path AND a.line_no = f.line_start"""
 )
 def fold_format_a(spark, sf_dir):
-    rows = fold_a(literal_lines(spark).filter("path = '/s/alpha/one.jsonl'"), "2026-06-01T00:00:00Z")
+    lines = literal_lines(spark)
+    rows = fold_a(lines.join(transcripts.detect_formats(lines).filter("harness = 'claude'"), "path", "left_semi"), "2026-06-01T00:00:00Z")
     return rows.select("project", "session_id", "git_branch", "timestamp", "user_message", "assistant_message", "line_start", "line_end", "user_is_injected")
 
 
 @query(
-    """SELECT 'gamma' AS project, 'c1' AS session_id, 'dev' AS git_branch, '2026-05-02T09:00:09Z' AS timestamp, 'Why is it slow?' AS user_message,
-  'A scan.' AS assistant_message, CAST(2 AS BIGINT) AS line_start, CAST(4 AS BIGINT) AS line_end"""
+    LINES_SQL
+    + """, known AS (SELECT l.*, coalesce(nullif((v->>'$.payload.cwd'), ''), NULL) AS cwd FROM lines l JOIN formats USING (path) WHERE harness = 'codex' AND v IS NOT NULL),
+meta AS (SELECT path, arg_max(cwd, line_no) FILTER (cwd IS NOT NULL) AS cwd, arg_max((v->>'$.payload.id'), line_no) FILTER ((v->>'$.type') = 'session_meta') AS session_id,
+  arg_max((v->>'$.payload.git.branch'), line_no) FILTER ((v->>'$.type') = 'session_meta') AS git_branch FROM known GROUP BY path),
+turns AS (SELECT path, line_no, (v->>'$.payload.role') AS role, (v->>'$.timestamp') AS said_at,
+    array_to_string(list_transform(CAST((v->'$.payload.content') AS JSON[]), lambda b: (b->>'$.text')), chr(10)) AS text
+  FROM known WHERE (v->>'$.type') = 'response_item' AND (v->>'$.payload.type') = 'message' AND (v->>'$.payload.role') IN ('user', 'assistant'))"""
+    + FOLDED_SQL
+    + """SELECT regexp_extract(cwd, '([^/]*)$', 1) AS project, session_id, git_branch, timestamp, user_message, assistant_message, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end
+FROM folded JOIN meta USING (path)"""
 )
 def fold_format_b(spark, sf_dir):
-    rows = fold_b(literal_lines(spark).filter("path like '%rollout%'"), "2026-06-01T00:00:00Z")
+    lines = literal_lines(spark)
+    rows = fold_b(lines.join(transcripts.detect_formats(lines).filter("harness = 'codex'"), "path", "left_semi"), "2026-06-01T00:00:00Z")
     return rows.select("project", "session_id", "git_branch", "timestamp", "user_message", "assistant_message", "line_start", "line_end")
 
 
-@query("SELECT '/s/2026/05/rollout-1.jsonl' AS path, '/home/u/beta' AS cwd")
+@query(
+    LINES_SQL
+    + """SELECT path, arg_min(coalesce(nullif((v->>'$.cwd'), ''), nullif((v->>'$.payload.cwd'), '')), line_no) AS cwd FROM lines
+WHERE line_no <= 50 AND coalesce(nullif((v->>'$.cwd'), ''), nullif((v->>'$.payload.cwd'), '')) IS NOT NULL GROUP BY path"""
+)
 def recorded_cwd(spark, sf_dir):
     return transcripts.recorded_cwd(literal_lines(spark))
 
@@ -229,11 +274,11 @@ DOC = "doc_id AS id, source AS project, lang, text FROM documents"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents in the shape of exchanges: English ones have no harness of their own."""
+    """documents in the shape of exchanges: English ones have no harness of their own, those of one source are side chains."""
     harness = F.when(F.col("lang") == "en", F.lit(None)).otherwise(F.lit("codex"))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("project"), harness.alias("harness"), F.lit(None).cast("string").alias("session_id"), "lang",
-        F.col("text").alias("user_message"), F.lit("").alias("assistant_message"), (F.col("doc_id") % 7 == 0).alias("is_sidechain"),
+        F.col("text").alias("user_message"), F.lit("").alias("assistant_message"), (F.col("source") == "src2").alias("is_sidechain"),
     )
 
 
@@ -262,7 +307,7 @@ def filter_empty(spark, sf_dir):
     return documents(spark, sf_dir).filter(filters.equal(SearchFilter(project="src"))).select("id")
 
 
-@query("SELECT doc_id AS id FROM documents WHERE NOT doc_id % 7 = 0")
+@query("SELECT doc_id AS id FROM documents WHERE source IS DISTINCT FROM 'src2'")
 def filter_sidechain(spark, sf_dir):
     return documents(spark, sf_dir).filter(filters.searchable()).select("id")
 
@@ -296,7 +341,7 @@ def filter_time_epoch(spark, sf_dir):
     return stamped_events(spark, sf_dir).filter(filters.by_epoch(where)).select("id")
 
 
-@query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'tion the') AND NOT doc_id % 7 = 0 ORDER BY doc_id DESC LIMIT 10")
+@query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'tion the') AND source IS DISTINCT FROM 'src2' ORDER BY doc_id DESC LIMIT 10")
 def substring_scan(spark, sf_dir):
     return filters.substring_scan(documents(spark, sf_dir), "Tion The", limit=10).select("id")
 
@@ -324,12 +369,25 @@ SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id L
     )
 
 
+_indexes: dict[tuple[str, str], bm25.TextIndex] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: below the checkpoint folder, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/colloquy-{uuid.uuid4().hex}"
+
+
 def plain_index(spark: SparkSession, sf_dir: str) -> bm25.TextIndex:
-    """Unstemmed, as the SQL has it."""
-    return bm25.build(table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text"), stemmed=False)
+    """Unstemmed, as the SQL has it; written once a session, by term, so that a query reads its terms' postings alone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        made = bm25.build(table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text"), stemmed=False)
+        _indexes[key] = bm25.written(made, scratch_folder(spark))
+    return _indexes[key]
 
 
-def found(spark, sf_dir, text: str, allowed: DataFrame | None = None, limit: int = 10) -> DataFrame:
+def found(spark, sf_dir, text: str, allowed: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
     return bm25.search(plain_index(spark, sf_dir), text, limit, allowed, stemmed=False).select("id", six("score"))
 
 
@@ -381,12 +439,12 @@ def phrase_match(spark, sf_dir):
 
 @query(TERMS_SQL + "SELECT DISTINCT id FROM tokens WHERE term = 'sting' AND id NOT IN (SELECT id FROM tokens WHERE term = 'thing')")
 def bool_must_not(spark, sf_dir):
-    return bm25.search(plain_index(spark, sf_dir), '+"sting" -thing', 1 << 30, stemmed=False).select("id")
+    return bm25.search(plain_index(spark, sf_dir), '+"sting" -thing', None, stemmed=False).select("id")
 
 
 @query(TERMS_SQL + "SELECT DISTINCT a.id FROM tokens a JOIN tokens b USING (id) WHERE a.term = 'sting' AND b.term = 'thing'")
 def bool_and(spark, sf_dir):
-    return bm25.search(plain_index(spark, sf_dir), '"sting" AND "thing"', 1 << 30, stemmed=False).select("id")
+    return bm25.search(plain_index(spark, sf_dir), '"sting" AND "thing"', None, stemmed=False).select("id")
 
 
 @query(r"SELECT page_id, CAST(len(list_filter(regexp_extract_all(lower(html), '[\p{L}\p{N}]+'), lambda t: strlen(t) < 40)) AS BIGINT) AS n FROM pages WHERE html IS NOT NULL")
@@ -432,7 +490,7 @@ def knn_filtered(spark, sf_dir):
 
 @query(knn_sql(limit=100_000_000))
 def knn_all_when_k_gt_n(spark, sf_dir):
-    return knn.top_k(vectors(spark, sf_dir), vector_of(spark, sf_dir, 7), 100_000_000).select("id", six("similarity"))
+    return knn.top_k(vectors(spark, sf_dir), vector_of(spark, sf_dir, 7), None).select("id", six("similarity"))
 
 
 @query(knn_sql("false"))
@@ -450,6 +508,18 @@ def vector_norms(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", F.round(knn.norm(F.col("embedding")), 4).alias("norm"))
 
 
+@query(
+    """SELECT vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
+  / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 4) AS similarity
+FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) q"""
+)
+def cosine_equals_ip(spark, sf_dir):
+    """Inner products of vectors brought to length one."""
+    unit = vectors(spark, sf_dir).select("id", knn.normalised(F.col("embedding")).alias("embedding"))
+    query_vector = unit.filter("id = 7").first().embedding
+    return knn.top_k(unit, query_vector, None).select("id", F.round("similarity", 4).alias("similarity"))
+
+
 CONCEPTS = (3, 11)
 
 
@@ -505,24 +575,44 @@ ORDER BY round(score, 12) DESC, vector_rank NULLS LAST, text_rank NULLS LAST, f.
 )
 
 
-def hybrid_of(spark, sf_dir, where: F.Column) -> DataFrame:
+def hybrid_of(spark, sf_dir, where: SearchFilter, mode: str = "hybrid") -> DataFrame:
     docs = documents(spark, sf_dir)
-    allowed = docs.filter(where).select("id")
-    near = knn.top_k(vectors(spark, sf_dir).join(allowed, "id", "left_semi"), vector_of(spark, sf_dir, 7), 50)
-    text = bm25.search(plain_index(spark, sf_dir), "thing sting", 50, allowed, stemmed=False)
-    fused = fusion.fuse(fusion.union([fusion.ranked(0, near, "similarity"), fusion.ranked(1, text, "score")]))
-    rows = fused.join(F.broadcast(near), "id", "left").join(docs.select("id"), "id")  # 50 rows are broadcast
-    return fusion.in_order(rows).limit(10).select("id", F.col("rank_0").alias("vector_rank"), F.col("rank_1").alias("text_rank"), six("similarity"))
+    stored = vectors(spark, sf_dir).join(docs.filter(filters.searchable()).select("id"), "id", "left_semi")  # side chains have no vector
+    return engine.hybrid(docs, stored, plain_index(spark, sf_dir), "thing sting", vector_of(spark, sf_dir, 7), 10, mode, where, stemmed=False)
+
 
+HYBRID_COLUMNS = ("id", "vector_rank", "text_rank")
 
-@query(HYBRID_SQL.replace("{where}", "true"))
+
+@query(HYBRID_SQL.replace("{where}", "source IS DISTINCT FROM 'src2'"))
 def hybrid_search(spark, sf_dir):
-    return hybrid_of(spark, sf_dir, F.lit(True))
+    return hybrid_of(spark, sf_dir, SearchFilter()).select(*HYBRID_COLUMNS, six("similarity"))
 
 
-@query(HYBRID_SQL.replace("{where}", "lang = 'en' AND NOT doc_id % 7 = 0"))
+@query(HYBRID_SQL.replace("{where}", "lang = 'en' AND source IS DISTINCT FROM 'src2'"))
 def hybrid_filtered(spark, sf_dir):
-    return hybrid_of(spark, sf_dir, filters.equal(SearchFilter(harness="claude")) & filters.searchable())
+    return hybrid_of(spark, sf_dir, SearchFilter(harness="claude")).select(*HYBRID_COLUMNS, six("similarity"))
+
+
+@query(
+    HYBRID_SQL.replace("{where}", "lang = 'en' AND source IS DISTINCT FROM 'src2'").replace(
+        "SELECT f.id, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(text_rank AS INTEGER) AS text_rank, similarity FROM",
+        "SELECT f.id, CASE WHEN vector_rank IS NULL THEN 'text' WHEN text_rank IS NULL THEN 'vector' ELSE 'both' END AS found_by FROM",
+    )
+)
+def hybrid_provenance(spark, sf_dir):
+    by = F.when(F.col("vector_rank").isNull(), "text").when(F.col("text_rank").isNull(), "vector").otherwise("both")
+    return hybrid_of(spark, sf_dir, SearchFilter(harness="claude"), "both").select("id", by.alias("found_by"))
+
+
+@query(HYBRID_SQL.replace("{where}", "source IS DISTINCT FROM 'src2'").replace("FROM vector_hits v FULL JOIN text_hits t ON v.id = t.id", "FROM vector_hits v LEFT JOIN (SELECT * FROM text_hits WHERE false) t ON v.id = t.id"))
+def search_by_vector(spark, sf_dir):
+    return hybrid_of(spark, sf_dir, SearchFilter(), "vector").select(*HYBRID_COLUMNS, six("similarity"))
+
+
+@query(HYBRID_SQL.replace("{where}", "source IS DISTINCT FROM 'src2'").replace("FROM vector_hits v FULL JOIN text_hits t ON v.id = t.id", "FROM text_hits t LEFT JOIN (SELECT * FROM vector_hits WHERE false) v ON v.id = t.id"))
+def search_by_text(spark, sf_dir):
+    return hybrid_of(spark, sf_dir, SearchFilter(), "text").select(*HYBRID_COLUMNS, six("similarity"))
 
 
 # Store
@@ -552,20 +642,44 @@ def assign_ids(spark, sf_dir):
     return store.assign_ids(stored(spark, sf_dir).drop("id"), 100).select("conv_id", "line_start", "line_end", "id")
 
 
-@query(TURNS_SQL + "SELECT id FROM exchanges WHERE conv_id % 3 <> 0")
+STORED_SQL = TURNS_SQL + ", stored AS (SELECT *, row_number() OVER (ORDER BY CAST(conv_id AS VARCHAR), line_start, line_end) - 1 AS sid FROM exchanges) "
+
+
+def filled_store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store of its own with the exchanges, their ids given by it and vectors by the default embedder."""
+    known = stored(spark, sf_dir).drop("id", "conv_id").columns
+    missing = [f.split() for f in EXCHANGE.split(", ") if f.split()[0] not in [*known, "id"]]
+    rows = stored(spark, sf_dir).select(*known, *[F.lit(None).cast(kind).alias(name) for name, kind in missing])
+    made = store.Store(spark, scratch_folder(spark).removeprefix("file:"))
+    made.insert(rows, lambda new: embed_exchanges(new, HashEmbedder(64)))
+    return made
+
+
+@query(STORED_SQL + "SELECT sid AS id, true AS has_vector FROM stored WHERE conv_id % 3 <> 0")
 def delete_cascade(spark, sf_dir):
-    rows = stored(spark, sf_dir)
-    return rows.join(rows.filter("conv_id % 3 = 0").select("id"), "id", "left_anti").select("id")
+    """What is left of rows and vectors when a third of the conversations is deleted."""
+    held = filled_store(spark, sf_dir)
+    held.delete(held.read("exchanges").filter("cast(archive_path as long) % 3 = 0").select("id"))
+    there = held.read("vectors").select("id", F.lit(True).alias("has_vector"))
+    return held.read("exchanges").select("id").join(there, "id", "full")
 
 
-@query(TURNS_SQL + "SELECT id FROM exchanges WHERE id >= 5000")
+@query(STORED_SQL + "SELECT sid AS id, CAST(conv_id AS VARCHAR) AS archive_path, user_message FROM stored WHERE sid >= 50")
 def exchanges_from(spark, sf_dir):
-    return stored(spark, sf_dir).filter("id >= 5000").select("id")
+    return filled_store(spark, sf_dir).exchanges_from(50).select("id", "archive_path", "user_message")
 
 
-@query(TURNS_SQL + "SELECT greatest(max(id) + 1, 7) AS next_id FROM exchanges")
+@query(STORED_SQL + "SELECT count(*) AS next_id FROM stored")
 def next_id(spark, sf_dir):
-    return stored(spark, sf_dir).agg(F.greatest(F.max("id") + 1, F.lit(7).cast("long")).alias("next_id"))
+    """Ids of deleted rows aren't given out again."""
+    held = filled_store(spark, sf_dir)
+    held.delete(held.exchanges_from(10).select("id"))
+    return spark.createDataFrame([(held.next_id(),)], "next_id long")
+
+
+@query(STORED_SQL + "SELECT CAST(conv_id AS VARCHAR) AS source_path, max(line_end) AS line_end FROM stored GROUP BY conv_id")
+def stored_cursors(spark, sf_dir):
+    return filled_store(spark, sf_dir).read("cursors")
 
 
 GROWN = [(1, "a", 10, 12), (2, "a", 10, 18), (3, "b", 1, 2), (4, "a", 20, 22)]
@@ -672,25 +786,115 @@ def project_from_path(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id, '[' || source || ', ' || lang || '] - ' || CAST(CAST(floor((doc_id % 101) / 100.0 * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% match' || chr(10) || '   "' || {SNIPPET_SQL} || '"' AS block
-FROM documents WHERE text IS NOT NULL"""
+    f"""SELECT doc_id, '1. [' || source || ', 2026-01-02' || CASE WHEN lang = 'en' THEN '' ELSE ', codex' END || '] - ' || CAST(CAST(floor((doc_id % 101) / 100.0 * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% match' || chr(10)
+  || '   "' || {SNIPPET_SQL} || '"' || chr(10) || '   Lines 1-2 in /t/' || CAST(doc_id AS VARCHAR) || chr(10) AS page FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"""
 )
 def format_results(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("text is not null")
-    pct = F.floor((F.col("doc_id") % 101) / 100.0 * 100 + 0.5).cast("string")
-    head = F.concat(F.lit("["), "source", F.lit(", "), "lang", F.lit("] - "), pct, F.lit('% match\n   "'), snippet(F.col("text"), F.lit("")), F.lit('"'))
-    return rows.select("doc_id", head.alias("block"))
+    """Each document printed as a page of one result."""
+    rows = documents(spark, sf_dir).filter("user_message is not null and project is not null")
+    rows = rows.select("id", "project", "harness", snippet(F.col("user_message"), F.lit("")).alias("snippet"))
+
+    def run(frames):
+        for f in frames:
+            pages = []
+            for r in f.to_dict("records"):
+                more = {"timestamp": "2026-01-02T03:04:05Z", "similarity": r["id"] % 101 / 100, "line_start": 1, "line_end": 2, "archive_path": f"/t/{r['id']}"}
+                pages.append(printed.results([r | more]))
+            yield f[["id"]].rename(columns={"id": "doc_id"}).assign(page=pages)
+
+    return rows.mapInPandas(run, "doc_id long, page string")
+
+
+def written_transcripts(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """``conversations`` as transcript files, <folder>/p<last digit>/<conv_id>.jsonl; tasks write them."""
+
+    def run(key, rows):
+        conv = int(key[0])
+        place = f"{folder}/p{conv % 10}"
+        os.makedirs(place, exist_ok=True)
+        with open(f"{place}/{conv}.jsonl", "w", encoding="utf-8") as f:
+            for r in rows.sort_values("turn").itertuples():
+                message = {"role": r.role, "content": r.text}
+                f.write(json.dumps({"type": r.role, "message": message, "sessionId": f"s{conv}", "timestamp": "2026-05-01T10:00:00Z", "promptSource": "typed"}) + "\n")
+        return pd.DataFrame({"conv_id": [conv]})
+
+    table(spark, sf_dir, "conversations").groupBy("conv_id").applyInPandas(run, "conv_id long").count()
+
 
+def synced(spark: SparkSession, sf_dir: str) -> tuple[engine.Engine, engine.SyncResult]:
+    """An engine of its own that has synced the conversations from transcript files."""
+    root = scratch_folder(spark).removeprefix("file:")
+    written_transcripts(spark, sf_dir, f"{root}/transcripts")
+    made = engine.Engine(spark, Config(f"{root}/store", [f"{root}/transcripts"], ttl_days=0))
+    return made, made.sync(1_780_000_000_000)
 
-@query(TURNS_SQL + "SELECT count(*) AS exchanges, count(DISTINCT conv_id) AS conversations, CAST(sum(line_end - line_start + 1) AS BIGINT) AS lines FROM exchanges")
+
+@query(
+    TURNS_SQL
+    + "SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS files_scanned, count(DISTINCT conv_id) AS files_copied, count(*) AS exchanges_inserted, count(*) AS text_indexed FROM exchanges"
+)
 def sync_stats(spark, sf_dir):
-    return exchanges(spark, sf_dir).agg(F.count("*").alias("exchanges"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.expr("line_end - line_start + 1")).alias("lines"))
+    _, got = synced(spark, sf_dir)
+    names = ("files_scanned", "files_copied", "exchanges_inserted", "text_indexed")
+    return spark.createDataFrame([tuple(getattr(got, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query(
+    TURNS_SQL
+    + "SELECT CAST(conv_id AS VARCHAR) AS session, 'p' || CAST(conv_id % 10 AS VARCHAR) AS project, line_start, line_end, user_message, assistant_message FROM exchanges"
+)
+def sync_exchanges(spark, sf_dir):
+    """From transcript files to stored exchanges."""
+    made, _ = synced(spark, sf_dir)
+    return made.store.read("exchanges").select(F.regexp_extract("archive_path", "([0-9]+)[.]jsonl$", 1).alias("session"), "project", "line_start", "line_end", "user_message", "assistant_message")
+
+
+@query(
+    TURNS_SQL
+    + "SELECT CAST(conv_id AS VARCHAR) AS session, line_start, line_end FROM exchanges"
+)
+def stream_sync(spark, sf_dir):
+    """The same by two runs of the stream over the dropped files; the second finds nothing new."""
+    root = scratch_folder(spark).removeprefix("file:")
+    written_transcripts(spark, sf_dir, f"{root}/transcripts")
+    held = store.Store(spark, f"{root}/store")
+    for _ in range(2):
+        ingest.sync_stream(spark, f"{root}/transcripts", held, f"{root}/checkpoint", "2026-06-01T00:00:00Z").awaitTermination()
+    return held.read("exchanges").select(F.regexp_extract("archive_path", "([0-9]+)[.]jsonl$", 1).alias("session"), "line_start", "line_end")
+
+
+@query(
+    """WITH windows AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, max(ts) AS last, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, epoch_us(last) // 1000 AS last_ms, n FROM windows WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+)
+def stream_ttl_watermark(spark, sf_dir):
+    """Daily activity of each user from a stream; a day is given out once the watermark has passed its end."""
+    root = scratch_folder(spark)
+    kind = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    days = ingest.activity_stream(events, "user_id", "at", 1)
+    sink = days.select("user_id", F.unix_millis("last").alias("last_ms"), "n").writeStream.format("parquet").outputMode("append")
+    sink.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.schema("user_id long, last_ms long, n long").parquet(f"{root}/out")
+
+
+WRITTEN = [(1, "A summary.\n"), (2, " \n\t"), (3, ""), (4, "[error] no answer\n"), (5, "  [error]"), (6, "all [error] free")]
+
+
+@query(
+    f"""SELECT CAST(id AS INTEGER) AS id, CASE WHEN regexp_replace(raw, '\\s', '', 'g') = '' THEN 'empty' WHEN starts_with(ltrim(raw), '[error]') THEN 'error' ELSE 'valid' END AS kind
+FROM {values(WRITTEN, 'id, raw')}"""
+)
+def summary_state(spark, sf_dir):
+    return spark.createDataFrame(WRITTEN, "id int, raw string").select("id", archive.kind_column(F.col("raw")).alias("kind"))
 
 
 @query()
 def embed_migration(spark, sf_dir):
-    rows = exchanges(spark, sf_dir).withColumn("is_sidechain", F.lit(False))
-    return embed_exchanges(rows, HashEmbedder(64)).select("id", F.size("embedding").alias("dimension"))
+    """Vectors after the engine has found those of another embedder; by test equal to the embedder's own."""
+    held = filled_store(spark, sf_dir)
+    engine.Engine(spark, Config(held.root, [], ttl_days=0, dimension=32)).migrate_vectors()
+    return store.Store(spark, held.root).read("vectors")
 
 
 # The flagship: fold, analyse, score

@@ -217,7 +217,7 @@ class Engine:
         out.summaries_written, out.summaries_failed = archive.summarise(asked, transcript, summarisers)
 
 
-def hybrid(exchanges: DataFrame, vectors: DataFrame, index: bm25.TextIndex, query: str, query_vector: list[float], limit: int, mode: str = "hybrid", where: SearchFilter = SearchFilter()) -> DataFrame:
+def hybrid(exchanges: DataFrame, vectors: DataFrame, index: bm25.TextIndex, query: str, query_vector: list[float], limit: int, mode: str = "hybrid", where: SearchFilter = SearchFilter(), stemmed: bool = True) -> DataFrame:
     """Both searches, each filtered by itself, fused by rank; the limit counts exchanges that are still there."""
     mode = "hybrid" if mode == "both" else mode
     depth = max(CANDIDATES, limit) if mode == "hybrid" else limit
@@ -229,13 +229,11 @@ def hybrid(exchanges: DataFrame, vectors: DataFrame, index: bm25.TextIndex, quer
         lists.append(fusion.ranked(0, near, "similarity"))
     if mode in ("hybrid", "text"):
         allowed = exchanges.filter(filters.by_epoch(where) & filters.searchable()).select("id")
-        lists.append(fusion.ranked(1, bm25.search(index, query, depth, allowed), "score"))
+        lists.append(fusion.ranked(1, bm25.search(index, query, depth, allowed, stemmed), "score"))
     fused = fusion.fuse(fusion.union(lists)).withColumnsRenamed({"rank_0": "vector_rank", "rank_1": "text_rank"})
     if near is not None:
         fused = fused.join(F.broadcast(near), "id", "left")  # ``depth`` rows
     else:
         fused = fused.withColumn("similarity", F.lit(None).cast("double"))
     shown = exchanges.withColumn("snippet", snippet(F.col("user_message"), F.col("assistant_message")))
-    order = [F.round("score", 12).desc(), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("text_rank"), F.asc("id")]
-    return F.broadcast(fused).join(shown, "id").orderBy(*order).limit(limit)  # 2 x ``depth`` rows are broadcast
-
+    return fusion.in_order(F.broadcast(fused).join(shown, "id"), "vector_rank", "text_rank").limit(limit)  # 2 x ``depth`` rows are broadcast

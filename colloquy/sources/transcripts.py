@@ -100,15 +100,20 @@ def recorded_cwd(lines: DataFrame) -> DataFrame:
     return probed.groupBy("path").agg(F.min_by("_cwd", "line_no").alias("cwd"))
 
 
+def text_between(lines: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """path, text: the lines ``start`` to ``end`` (from 1, both included) of each path, as they stand in it."""
+    some = lines.filter(F.col("line_no").between(max(1, start or 1), end if end is not None else (1 << 62)))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return some.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
 def read_range(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> str:
-    """Lines ``start`` to ``end`` (from 1, both included) of one transcript; the driver returns a single file to a caller."""
+    """Lines ``start`` to ``end`` of one transcript; the driver returns a single file to a caller."""
     if not existing(spark, [path]):
         raise FileNotFoundError(path)
-    text = spark.read.text(path, wholetext=True).select(
-        F.array_join(F.slice(F.split("value", "\n"), max(1, start or 1), F.greatest(F.lit(0), F.lit(end if end is not None else 1 << 30) - max(1, start or 1) + 1)), "\n")
-    )
-    row = text.first()
-    return row[0] if row else ""
+    files = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
+    row = text_between(lines_of(files), start, end).first()
+    return row.text if row else ""
 
 
 def project_of_path(path: Column) -> Column:

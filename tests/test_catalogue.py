@@ -24,3 +24,15 @@ def test_matches_sql(spark, name):
     got = catalogue.QUERIES[name](spark, DATA).toPandas()
     na = lambda df: df.astype(object).where(df.notna(), None)
     assert rows(na(got)) == rows(na(want))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_migrated_vectors_are_the_new_embedders(spark):
+    from colloquy.functions.embed import HashEmbedder
+    from colloquy.functions.text import embedded_text
+
+    rows = catalogue.exchanges(spark, DATA).orderBy(catalogue.F.col("conv_id").cast("string"), "line_start").select(embedded_text(catalogue.F.col("user_message"), catalogue.F.col("assistant_message")).alias("text")).collect()
+    want = HashEmbedder(32).embed([r.text for r in rows])
+    got = {r.id: r.embedding for r in catalogue.QUERIES["embed_migration"](spark, DATA).collect()}
+    assert sorted(got) == list(range(len(rows)))
+    assert all(got[i] == pytest.approx(list(map(float, want[i])), abs=1e-6) for i in got)

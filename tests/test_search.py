@@ -89,3 +89,60 @@ def test_requests():
 def test_epoch(spark):
     rows = spark.createDataFrame([("1969-01-01T00:00:00Z",), ("nonsense",), ("1970-01-01T00:00:01Z",)], "t string")
     assert [r[0] for r in rows.select(filters.epoch_ms(F.col("t"))).collect()] == [0, 0, 1000]
+
+
+def test_stemmed_search_equals_plain_bm25(spark, tmp_path):
+    """The registered query against dictionaries: tokens by a pattern, stems by the published rules, scores summed up."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    from colloquy.functions.text import stem
+    from colloquy.plans import catalogue
+
+    rng = random.Random(2)
+    words = ["thing", "things", "thinging", "sting", "stings", "stinging", "other", "others", "run", "Running", "sky", "x" * 45]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for i in range(60)}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()] + [(90, None, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    stems = {i: Counter(stem(w) for w in re.findall("[a-z]+", t.lower()) if len(w) < 40) for i, t in texts.items()}
+    mean = sum(c.total() for c in stems.values()) / len(stems)
+    score = Counter()
+    for term in ("thing", "sting"):
+        df = sum(term in c for c in stems.values())
+        for i, c in stems.items():
+            if tf := c[term]:
+                score[i] += math.log(1 + (len(stems) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * c.total() / mean))
+    want = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10]
+    got = catalogue.QUERIES["bm25_stemmed"](spark, str(tmp_path)).collect()
+    assert [r.id for r in got] == [i for i, _ in want] and [r.score for r in got] == pytest.approx([s for _, s in want], abs=1e-6)
+
+
+def test_boolean_queries_equal_sets(spark):
+    import itertools
+
+    rows = [" ".join(c) for n in range(5) for c in itertools.combinations("abcd", n)]
+    index = bm25.build(texts(spark, *rows), stemmed=False)
+    has = [set(r.split()) for r in rows]
+    for query, fits in {
+        '"a" AND "b"': lambda h: {"a", "b"} <= h,
+        '"a" OR "b"': lambda h: bool({"a", "b"} & h),
+        '+"a" -b -"c"': lambda h: "a" in h and not {"b", "c"} & h,
+        '("a" AND "b") OR ("c" AND "d")': lambda h: {"a", "b"} <= h or {"c", "d"} <= h,
+        '+"d" ("a" OR "b")': lambda h: "d" in h,
+        '"b c" -d': lambda h: {"b", "c"} <= h and "d" not in h,
+        '-"a"': lambda h: False,
+    }.items():
+        assert sorted(ids(bm25.search(index, query, None, stemmed=False))) == [i for i, h in enumerate(has) if fits(h)], query
+    scored = {r.id: r.score for r in bm25.search(index, '"a" AND "b"', None, stemmed=False).collect()}
+    plain = {r.id: r.score for r in bm25.search(index, "a b", None, stemmed=False).collect()}
+    assert all(scored[i] == pytest.approx(plain[i]) for i in scored)
+
+
+def test_terms_of_scripts_without_spaces(spark):
+    from colloquy.functions.text import query_terms, raw_terms
+
+    rows = ["plain words 12", "数据库index很慢", "한국어 text", "", None, "データ!"]
+    got = [r[0] for r in texts(spark, *rows).orderBy("id").select(raw_terms(F.col("text"))).collect()]
+    assert got[0] == ["plain", "words", "12"] and got[1] == ["数据", "据库", "index", "很慢"] and got[4] is None
+    assert [g for g, r in zip(got, rows, strict=True) if r is not None] == [query_terms(r, stemmed=False) for r in rows if r is not None]
