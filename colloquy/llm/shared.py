@@ -24,10 +24,13 @@ def ship(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (as in tests on one machine) a temporary folder is made and put in the session.
+    Where the setting is absent and Spark runs on one machine (as in tests) a temporary folder is made and put in the
+    session; on a cluster that would be a folder of the driver's alone, so there it raises RuntimeError.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set")
         folder = tempfile.mkdtemp(prefix="colloquy-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = "file://" + folder
@@ -52,9 +55,9 @@ class Scratch:
         ship(spark)
         self.spark, self.name, self.paths = spark, name, {}
 
-    def write(self, df: DataFrame, step: str) -> DataFrame:
+    def write(self, df: DataFrame, step: str, *by: str) -> DataFrame:
         path = shared_path(self.spark, f"{self.name}-{step}")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
