@@ -435,6 +435,10 @@ def test_topk(spark):
     for q in (0, 50, 100, 250, 300):
         best = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q)[:5]
         assert got[q] == {n: (i, -s) for n, (s, i) in enumerate(best, 1)}
+    twice = topk.top_k(v.union(v.filter("vec_id in (0, 7)")), F.col("vec_id") == 0, k=200).collect()
+    others = len(whole) + 1  # candidates of each of the two rows: all but itself
+    assert sorted(r.rank for r in twice) == sorted([*range(1, others + 1)] * 2)
+    assert sum(r.vec_id == 0 for r in twice) == 2 and sum(r.vec_id == 7 for r in twice) == 4
     assert topk.top_k(v.filter("false"), F.lit(True)).count() == 0
     assert topk.top_k(v.filter("vec_id = 0"), F.lit(True)).count() == 0
 
