@@ -71,9 +71,13 @@ class Scratch:
         self.free()
 
     def free(self) -> None:
-        """Shuffle files go once the JVM has collected the frames that wrote them."""
+        """Shuffle files go once the JVM has collected the plans that wrote them.
+
+        Spark holds on to the last plan that was run, so one without a job is run first.
+        """
         import gc
 
+        self.spark.sql("SELECT 1").collect()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
