@@ -7,8 +7,11 @@ behaviour that those tables don't have.  Scores are rounded to six places, and e
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -373,9 +376,13 @@ _indexes: dict[tuple[str, str], bm25.TextIndex] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below the checkpoint folder, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/colloquy-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share: below the checkpoint folder; where none is set, on one machine a
+    temporary one, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.startswith("local["):
+        root = tempfile.mkdtemp(prefix="colloquy-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/colloquy-{uuid.uuid4().hex}"
 
 
 def plain_index(spark: SparkSession, sf_dir: str) -> bm25.TextIndex:
