@@ -78,7 +78,7 @@ def whole(body: bytes) -> Stretches:
     size = np.bincount(row, minlength=part.num_rows)
     first = np.cumsum(size) - size
     key = np.array([xxhash.xxh3_64_intdigest(words[a : a + n].tobytes()) >> 32 for a, n in zip(first.tolist(), size.tolist(), strict=True)], np.int64)
-    return Stretches(first, np.zeros(len(size), np.int64), np.asarray(part.column("doc_id").fill_null(NULL_ID)).astype(np.int64), key, size, words)
+    return Stretches(first, np.zeros(len(size), np.int64), np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(NULL_ID)), key, size, words)
 
 
 def stretches(body: bytes) -> Stretches:
