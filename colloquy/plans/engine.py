@@ -54,7 +54,8 @@ class Engine:
         """The stored postings, with those of exchanges that came after them made on the way."""
         known = self.store.opened()
         stored = bm25.TextIndex(self.store.read("postings", known), self.store.read("lengths", known))
-        fresh = self.store.read("exchanges", known).filter(F.col("id") >= (known["meta"].get(TEXT_CURSOR) or 0))
+        cursor = known["meta"].get(TEXT_CURSOR) or 0 if known["tables"].get("lengths") else 0
+        fresh = self.store.read("exchanges", known).filter(F.col("id") >= cursor)
         made = bm25.build(bm25.exchange_documents(fresh))
         return bm25.TextIndex(stored.postings.unionByName(made.postings), stored.lengths.unionByName(made.lengths))
 
