@@ -100,7 +100,8 @@ def test_stages_one_by_one(spark, folder, tmp_path):
         sizes[r.source] = (r.target, r.source_size)
     for source, (target, size) in sizes.items():
         words = sum(len((r["text"] or "").split()) for r in found["mixing"] if r["source"] == source)
-        assert abs(words - target) <= 0.15 * size + 60, source
+        longest = max(len((r["text"] or "").split()) for r in found["passages"] if r["source"] == source)
+        assert abs(words - target) <= 0.1 * size + longest, source  # documents are taken whole
 
     from tokenizers import Tokenizer
 
