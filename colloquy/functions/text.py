@@ -16,9 +16,9 @@ from ..schema import EMBEDDED, SNIPPET, TOKEN_BYTES, TRANSCRIPT
 #: White space in patterns: also the no-break space, the ideographic space and the byte order mark.
 BLANK = r"[\s 　﻿]"
 #: Scripts written without spaces between words.
-CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 #: A run of letters and digits of one kind: of a script without spaces, or of any other.
-RUN = rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"
+RUN = rf"[{CJK}&&[\p{{L}}\p{{N}}]]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"
 
 
 def document_text(user: Column, assistant: Column) -> Column:
