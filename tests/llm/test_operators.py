@@ -553,6 +553,64 @@ def test_toxicity_equals_plain_kneser_ney(spark):
     assert toxicity.differences(*values, known) == pytest.approx(want, abs=1e-9)
 
 
+def plain_bigram_kneser_ney(rows):
+    """Each (word before, word)'s log P(word | word before, toxic) - log P(word | word before, ordinary), from counters."""
+    import math
+    import re
+
+    every, shared = {}, 0
+    n = [Counter(), Counter()]
+    for text, toxic in rows:
+        found = re.findall("[a-z0-9']+", text.lower())
+        n[toxic].update(zip([None, *found], found))
+    for before, w in {*n[0], *n[1]}:
+        every[w] = every.get(w, 0) + 1
+        shared += 1
+
+    def estimated(values):
+        c = [sum(v == i for v in values) for i in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1])
+        return [0, *(max(0, i - (i + 1) * y * c[i] / c[i - 1]) for i in (1, 2, 3))]
+
+    def model(counts):
+        contexts = Counter(w for _, w in counts)
+        d, low = estimated(counts.values()), estimated(contexts.values())
+        d = [0, *(max(x, d[1]) for x in d[1:])]
+        spread = sum(low[min(v, 3)] for v in contexts.values())
+        total, freed = Counter(), Counter()
+        for (before, _), v in counts.items():
+            total[before] += v
+            freed[before] += d[min(v, 3)]
+
+        def log_p(before, w):
+            lower = (contexts[w] - low[min(contexts[w], 3)] + spread * (every.get(w, 0) + 0.5) / (shared + 0.5 * (len(every) + 1))) / len(counts)
+            v = counts[before, w]
+            return math.log((v - d[min(v, 3)] + freed[before] * lower) / total[before] if total[before] else lower)
+
+        return log_p
+
+    ordinary, toxic = model(n[0]), model(n[1])
+    return lambda before, w: toxic(before, w) - ordinary(before, w)
+
+
+def test_toxicity_scores_pairs_by_plain_kneser_ney(spark):
+    from colloquy.llm.shared import Scratch
+
+    once, more = "he will say so and", "well then who knows"
+    rows = [(i, passage(i % 37, 50) + " " + passage(i, 9) + f" {once}" * (i % 5) + f" {more}" * (i % 4), int(i % 3 == 0)) for i in range(200)]
+    counted = spark.createDataFrame(rows, "doc_id long, text string, _toxic int").repartition(3)
+    asked = [(i, passage(i + 30, 40) + f" unseen {once} {more} so well will", "en", "s") for i in range(40)] + [(90, "", "en", "s"), (91, None, "en", "s"), (92, "knows", "en", "s")]
+    plain = plain_bigram_kneser_ney([(t, k) for _, t, k in rows])
+    got = {r.doc_id: r.x for r in toxicity.measured(frame(spark, asked).repartition(4), counted, Scratch(spark, "t")).collect()}
+    for i, text, *_ in asked:
+        found = (text or "").split()
+        gains = [plain(*pair) for pair in zip([None, *found], found)]
+        assert got[i][6] == pytest.approx(np.mean(gains) if gains else 0, abs=1e-6)
+    texts = [(" ".join(["", *t.split()]), k) for _, t, k in rows]
+    met = {(r.o, r.t) for r in toxicity.pairs(counted).collect()}
+    assert tuple(sum(t.count(" say so") for t, k in texts if k == c) for c in (0, 1)) in met
+
+
 def test_toxicity_counts_what_it_does_not_calibrate_on(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
     docs, labels = frame(spark, [(i, "a", "en", "s") for i in range(300)]), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
