@@ -226,8 +226,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end:
     scratch.drop(tokens)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, file, block, place (in the block), n_tokens, ids (16-bit, little-endian) for each document stored."""
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCK_TYPE).parquet(f"{path}/blocks")
+
+
+def decoder(spark: SparkSession, path: str):
+    """Batches of blocks to batches of their documents, as ``read`` gives them; to be run in the tasks."""
     lengths = np.zeros(1 << 16, np.int64)
     for r in spark.read.schema("id int, bits int").parquet(f"{path}/codes").collect():
         lengths[r.id] = r.bits
@@ -246,12 +250,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 columns.append(pa.array([raw[2 * a : 2 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "file", "block", "place", "n_tokens", "ids"])
 
-    return spark.read.schema(BLOCK_TYPE).parquet(f"{path}/blocks").mapInArrow(run, "doc_id long, file int, block int, place int, n_tokens long, ids binary")
+    return run
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, file, block, place (in the block), n_tokens, ids (16-bit, little-endian) for each document stored."""
+    return stored(spark, path).mapInArrow(decoder(spark, path), "doc_id long, file int, block int, place int, n_tokens long, ids binary")
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
     """file, block, start: the ids of all documents before each block."""
-    sizes = spark.read.schema(BLOCK_TYPE).parquet(f"{path}/blocks").select("file", "block", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    sizes = stored(spark, path).select("file", "block", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     files = sizes.groupBy("file").agg(F.sum("n").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each file
     files = files.select(F.col("file").alias("_file"), before.alias("_before"))
@@ -261,14 +270,19 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 for each document, from the files alone."""
+    """doc_id, start, n_tokens, ids_crc32 for each document, from the files alone.
+
+    The task that decodes also digests: one ``mapInArrow`` after another would take two Python workers a core, which stay
+    with their tables for the queries that follow.
+    """
+    documents = decoder(spark, path)
 
     def run(batches):
-        for batch in batches:
+        for batch in documents(batches):
             crc = [zlib.crc32(np.frombuffer(i.as_buffer(), "<u2").astype("<u4").tobytes()) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "block", "place", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "file", "block", "place", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).mapInArrow(run, "doc_id long, file int, block int, place int, n_tokens long, ids_crc32 long")
+    rows = stored(spark, path).mapInArrow(run, "doc_id long, file int, block int, place int, n_tokens long, ids_crc32 long")
     before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = starts(spark, path).select(F.col("file").alias("_f"), F.col("block").alias("_b"), "start")
     rows = rows.withColumn("_in", before).join(first, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))

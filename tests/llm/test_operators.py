@@ -345,6 +345,16 @@ def test_token_files(spark, docs, none, monkeypatch):
     assert token_store.digests(spark, path).count() == 0
 
 
+def test_token_digests_take_one_worker_a_core(spark, docs):
+    """Two Python steps in one stage hold two workers a core, each with its tables, for whatever runs next."""
+    path = shared_path(spark, "t")
+    token_store.write(docs, path, tokenizer_path("word_bpe_49k.json"))
+    digests = token_store.digests(spark, path)
+    assert digests._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    read = {(r.file, r.block, r.place): (r.doc_id, r.n_tokens, zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes())) for r in token_store.read(spark, path).collect()}
+    assert sorted(read.values()) == sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in digests.collect())
+
+
 def test_media(spark, docs, none):
     folder = shared_path(spark, "m")
     stored = docs.sparkSession.createDataFrame(media.store(docs, folder).collect(), media.STORED)
