@@ -19,6 +19,8 @@ BLANK = r"[\s 　﻿]"
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 #: A run of letters and digits of one kind: of a script without spaces, or of any other.
 RUN = rf"[{CJK}&&[\p{{L}}\p{{N}}]]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"
+#: The same in texts without such scripts.
+PLAIN_RUN = r"[\p{L}\p{N}]+"
 
 
 def document_text(user: Column, assistant: Column) -> Column:
@@ -60,14 +62,14 @@ def extract_summary(reply: Column) -> Column:
 
 def raw_terms(text: Column) -> Column:
     """Lower-case terms in order: words of fewer than 40 bytes, and for scripts without spaces each pair of neighbours."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0))
+    runs = lambda pattern: F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
     def split(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, 2))
         return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
     # Few texts have such a script, and only theirs are looked at run by run.
-    words = F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, split))).otherwise(runs)
+    words = F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs(RUN), split))).otherwise(runs(PLAIN_RUN))
     return F.filter(words, lambda t: F.octet_length(t) < TOKEN_BYTES)
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Clause, Group, document_text, parse_query, with_terms
-from ..schema import LENGTH, POSTING
+from ..schema import LENGTH
 
 K1, B = 1.2, 0.75
+PLACES = "array<struct<term:string,positions:array<int>>>"
 
 
 @dataclass(frozen=True)
@@ -41,12 +42,22 @@ def build(documents: DataFrame, text: Column | str = "text", stemmed: bool = Tru
     return TextIndex(postings, words.select("id", F.size("terms").cast("long").alias("dl")))
 
 
-def written(index: TextIndex, path: str) -> TextIndex:
-    """The index as files, postings in the order of their terms."""
-    spark = index.postings.sparkSession
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-    index.lengths.write.parquet(f"{path}/lengths")
-    return TextIndex(spark.read.schema(POSTING).parquet(f"{path}/postings"), spark.read.schema(LENGTH).parquet(f"{path}/lengths"))
+def asked(documents: DataFrame, terms: list[str], path: str, text: Column | str = "text", stemmed: bool = True) -> TextIndex:
+    """All lengths of (id, text), and the postings of a few terms alone, by one pass over the texts.
+
+    The pass writes one row a document, its length and where it has the terms, so searches read no text and what is shuffled
+    is of the documents that hold a term.
+    """
+    words = with_terms(documents, F.col(text) if isinstance(text, str) else text, stemmed)
+    hit = lambda t, i: F.when(t.isin(*terms), F.struct(t.alias("term"), i.alias("position")))
+    hits = words.select("id", F.size("terms").cast("long").alias("dl"), F.filter(F.transform("terms", hit), lambda h: h.isNotNull()).alias("hits"))
+    at = lambda t: F.transform(F.filter("hits", lambda h: h["term"] == t), lambda h: h["position"])
+    places = F.array(*[F.struct(F.lit(t).alias("term"), at(t).alias("positions")) for t in terms]).cast(PLACES)
+    hits.select("id", "dl", F.filter(places, lambda p: F.size(p["positions"]) > 0).alias("places")).write.parquet(path)
+    rows = documents.sparkSession.read.schema(f"{LENGTH}, places {PLACES}").parquet(path)
+    each = rows.select("id", F.inline("places"))
+    postings = each.groupBy("term", "id").agg(F.sum(F.size("positions")).alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return TextIndex(postings, rows.select("id", "dl"))
 
 
 def exchange_documents(exchanges: DataFrame) -> DataFrame:
@@ -72,6 +83,11 @@ def phrases_of(group: Group) -> list[tuple[str, ...]]:
     return list(out)
 
 
+def terms_of(query: str, stemmed: bool = True) -> list[str]:
+    """The terms of a query, once each."""
+    return sorted({t for p in phrases_of(parse_query(query, stemmed)) for t in p})
+
+
 def clause_frequencies(index: TextIndex, phrases: list[tuple[str, ...]]) -> DataFrame:
     """id and f0, f1, ...: how often a document has each term, or the terms of each phrase in adjacent places.
 

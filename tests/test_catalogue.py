@@ -26,6 +26,20 @@ def test_matches_sql(spark, name):
     assert rows(na(got)) == rows(na(want))
 
 
+TEXT = ("doc_lengths", "phrase_match", "hybrid_provenance", "bm25_dup_term", "hybrid_filtered", "bm25_or", "bool_and", "corpus_stats", "term_df")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", TEXT)
+def test_text_queries_write_a_row_a_document_at_most(spark, name, tmp_path, monkeypatch):
+    folders = []
+    monkeypatch.setattr(catalogue, "scratch_folder", lambda _: folders.append(f"{tmp_path}/{len(folders)}") or folders[-1])
+    catalogue.QUERIES[name](spark, DATA).collect()
+    wrote = sum(spark.read.option("recursiveFileLookup", "true").parquet(f).count() for f in folders)
+    assert wrote <= catalogue.table(spark, DATA, "documents").count()
+    assert len(folders) == (name not in ("doc_lengths", "corpus_stats", "term_df"))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_migrated_vectors_are_the_new_embedders(spark):
     from colloquy.functions.embed import HashEmbedder

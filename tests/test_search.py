@@ -20,6 +20,20 @@ def test_denser_and_rarer_first(spark):
     assert 2 not in ids(bm25.search(index, "cache leak", 5))
 
 
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_index_of_asked_terms(spark, tmp_path, stemmed):
+    docs = texts(spark, "Red greens, blue greens", "", None, "greens", "日本語 red 日本", "blue").unionByName(spark.createDataFrame([(0, "blue greens red"), (7, "none")], "id long, text string"))
+    want, terms = bm25.build(docs, stemmed=stemmed), bm25.terms_of('"red greens" -blue 日本', stemmed)
+    got = bm25.asked(docs, terms, f"{tmp_path}/a", stemmed=stemmed)
+    key = lambda r: str(tuple(r))
+    postings = lambda i: sorted(i.postings.filter(F.col("term").isin(*terms)).select("term", "id", "tf", "positions").collect(), key=key)
+    assert postings(got) == postings(want)
+    assert got.postings.count() == len(postings(want)) == 7
+    assert sorted(got.lengths.collect(), key=key) == sorted(want.lengths.collect(), key=key)
+    nothing = bm25.asked(docs, [], f"{tmp_path}/b", stemmed=stemmed)
+    assert (nothing.postings.count(), nothing.lengths.count()) == (0, docs.count())
+
+
 def test_stemmed_forms_match_and_punctuation_is_harmless(spark):
     index = bm25.build(texts(spark, "the indexes were rebuilt", "nothing"))
     assert ids(bm25.search(index, "index()[]{}*?~^:\\", 5)) == [0]
