@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -230,6 +231,7 @@ def _short_end(word: str) -> bool:
     return len(word) > 2 and word[-1] not in _V + "wxY" and word[-2] in _V and word[-3] not in _V
 
 
+@lru_cache(1 << 17)
 def stem(word: str) -> str:
     """The stem of a lower-case English word; words with other characters than a-z stay."""
     if len(word) < 3 or not (word.isascii() and word.isalpha()):

@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
     assert rows(na(got)) == rows(na(want))
 
 
-TEXT = ("doc_lengths", "phrase_match", "hybrid_provenance", "bm25_dup_term", "hybrid_filtered", "bm25_or", "bool_and", "corpus_stats", "term_df")
+TEXT = ("doc_lengths", "phrase_match", "hybrid_provenance", "bm25_dup_term", "hybrid_filtered", "bm25_stemmed", "bm25_or", "bool_and", "corpus_stats", "term_df")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
