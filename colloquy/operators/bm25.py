@@ -7,15 +7,19 @@ scan, and are joined to nothing larger than the documents that hold them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Clause, Group, document_text, parse_query, with_terms
-from ..schema import LENGTH
+from ..functions.text import Clause, Group, document_text, parse_query, stem, with_terms
+from ..schema import LENGTH, POSTING
 
 K1, B = 1.2, 0.75
 PLACES = "array<struct<term:string,positions:array<int>>>"
@@ -31,15 +35,49 @@ class TextIndex:
         return self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def build(documents: DataFrame, text: Column | str = "text", stemmed: bool = True) -> TextIndex:
-    """The index of (id, text); one row of an id counts, so replayed rows replace (see ``latest``)."""
-    words = with_terms(documents, F.col(text) if isinstance(text, str) else text, stemmed)
+def build(documents: DataFrame, text: Column | str = "text", stemmed: bool = True, unique: bool = False) -> TextIndex:
+    """The index of (id, text); one row of an id counts, so replayed rows replace (see ``latest``).
+
+    Where ids are known to be ``unique``, a row makes its postings by itself, which suits an index that is written whole; else
+    rows of one id are brought together, and a search's terms are picked before that.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    raw = with_terms(documents, text, stemmed=False)  # a stem for each term: lengths are the same
+    lengths = raw.select("id", F.size("terms").cast("long").alias("dl"))
+    if unique:
+        return TextIndex(row_postings(raw, stemmed), lengths)
+    words = with_terms(documents, text, stemmed)
     postings = (
         words.select("id", F.posexplode("terms").alias("position", "term"))
         .groupBy("term", "id")
         .agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
     )
-    return TextIndex(postings, words.select("id", F.size("terms").cast("long").alias("dl")))
+    return TextIndex(postings, lengths)
+
+
+def row_postings(raw: DataFrame, stemmed: bool) -> DataFrame:
+    """The postings of each row of (id, terms), in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("terms")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            known, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if stemmed:
+                stems = pa.array([stem(t) for t in known.to_pylist()], pa.string()).dictionary_encode()
+                known, code = stems.dictionary, stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            row = np.repeat(np.arange(len(size)), size)
+            position = (np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            key = row * max(len(known), 1) + code
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            ends = np.append(first, len(code))
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position[order]))
+            columns = [known.take(pa.array(code[order[first]])), b.column("id").take(pa.array(row[order[first]])), pa.array(np.diff(ends)), positions]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "id", "tf", "positions"])
+
+    return raw.mapInArrow(run, POSTING)
 
 
 def asked(documents: DataFrame, terms: list[str], path: str, text: Column | str = "text", stemmed: bool = True) -> TextIndex:

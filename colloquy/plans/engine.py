@@ -110,10 +110,8 @@ class Engine:
         listing = files.select("path", "mtime_ms")
         out.files_scanned = listing.count()
         recent = lifecycle.recent_files(files, cutoff)
-        lines = transcripts.lines_of(recent)
-        formats = transcripts.detect_formats(lines)
-        by = lambda h: lines.join(formats.filter(F.col("harness") == h), "path", "left_semi")
-        parsed = fold_a(by("claude"), now).unionByName(fold_b(by("codex"), now))
+        first, second = transcripts.lines_by_format(recent)
+        parsed = fold_a(first, now).unionByName(fold_b(second, now))
         # New exchanges are written by the insert; what has been stored says where files belong.
         out.exchanges_inserted = self.store.insert(parsed, lambda new: embed_exchanges(new, self.embedder))
         out.files_copied = self.copy_files(lifecycle.recent_files(listing, cutoff))
@@ -148,6 +146,7 @@ class Engine:
             for f in frames:
                 yield f.assign(n=[int(archive.copy_if_changed(a, b)) for a, b in zip(f.archive_path, f.copy_path, strict=True)])[["n"]]
 
+        changed = changed.repartition(2 * self.spark.sparkContext.defaultParallelism)  # short rows, long work
         return changed.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def migrate_vectors(self) -> bool:
@@ -197,7 +196,7 @@ class Engine:
             fresh = self.store.read("exchanges", known).filter(F.col("id") >= cursor)
             out.text_indexed, top = fresh.agg(F.count("*"), F.max("id")).first()
             if out.text_indexed:
-                made = bm25.build(bm25.exchange_documents(fresh))
+                made = bm25.build(bm25.exchange_documents(fresh), unique=True)
                 self.store.publish(append={"postings": made.postings, "lengths": made.lengths}, meta={TEXT_CURSOR: top + 1})
         finally:
             self.store.release()

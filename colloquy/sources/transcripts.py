@@ -16,6 +16,8 @@ from ..schema import DEFAULT_HARNESS, OTHER_HARNESS, PROBED_LINES
 #: Fixed values of the second format: its line types.
 LINE_TYPES = ("session_meta", "turn_context", "response_item", "event_msg", "compacted")
 
+LINE_END = "\r?\n"
+
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the paths that are there; asks the file system that each names."""
@@ -62,7 +64,7 @@ def read_files(spark: SparkSession, folders: list[str], pattern: str = "*.jsonl"
 
 def lines_of(files: DataFrame) -> DataFrame:
     """path, line_no (from 1), line: every physical line, blank and broken ones too."""
-    return files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("_at", "line")).select("path", (F.col("_at") + 1).cast("long").alias("line_no"), "line")
+    return files.select("path", F.posexplode(F.split("text", LINE_END)).alias("_at", "line")).select("path", (F.col("_at") + 1).cast("long").alias("line_no"), "line")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -84,13 +86,30 @@ def text_at(path: str) -> Column:
     return F.when(at.isNotNull() & is_text(at), get(path))
 
 
-def detect_formats(lines: DataFrame) -> DataFrame:
-    """path, harness: by the first line that is JSON; files without one are of the first format."""
+def is_other() -> Column:
+    """Whether the line is one of the second format."""
     there = get("payload", "variant")
     falsy = F.coalesce(F.to_json(there).isin("null", "false", "0", '""'), F.lit(True))
-    other = F.coalesce(text_at("type").isin(*LINE_TYPES) & ~falsy, F.lit(False))
-    found = parsed(lines).groupBy("path").agg(F.min_by(F.when(F.col("v").isNotNull(), other), F.when(F.col("v").isNotNull(), F.col("line_no"))).alias("_other"))
-    return found.select("path", F.when(F.coalesce("_other", F.lit(False)), F.lit(OTHER_HARNESS)).otherwise(F.lit(DEFAULT_HARNESS)).alias("harness"))
+    return F.coalesce(text_at("type").isin(*LINE_TYPES) & ~falsy, F.lit(False))
+
+
+def harness_of(other: Column) -> Column:
+    return F.when(F.coalesce(other, F.lit(False)), F.lit(OTHER_HARNESS)).otherwise(F.lit(DEFAULT_HARNESS)).alias("harness")
+
+
+def detect_formats(lines: DataFrame) -> DataFrame:
+    """path, harness: by the first line that is JSON; files without one are of the first format."""
+    found = parsed(lines).groupBy("path").agg(F.min_by(F.when(F.col("v").isNotNull(), is_other()), F.when(F.col("v").isNotNull(), F.col("line_no"))).alias("_other"))
+    return found.select("path", harness_of(F.col("_other")))
+
+
+def lines_by_format(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of the files of each format, which a file's own row tells as ``detect_formats`` does: no line is shuffled."""
+    first = F.aggregate(
+        F.split("text", LINE_END), F.lit(None).cast("string"), lambda known, line: F.when(known.isNotNull(), known).otherwise(F.when(F.try_parse_json(line).isNotNull(), line))
+    )
+    known = files.select("path", "text", F.try_parse_json(first).alias("v")).select("path", "text", harness_of(is_other()))
+    return lines_of(known.filter(F.col("harness") == DEFAULT_HARNESS)), lines_of(known.filter(F.col("harness") == OTHER_HARNESS))
 
 
 def recorded_cwd(lines: DataFrame) -> DataFrame:
