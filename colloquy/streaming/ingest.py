@@ -14,17 +14,20 @@ from ..operators.fold import fold_a, fold_b
 from ..operators.store import Store
 from ..sources import transcripts
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 
 def sync_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, now: str) -> StreamingQuery:
     """Reads dropped transcripts that are new since the last run, then ends."""
-    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").schema("value string").load(folder)
+    # A batch looks at its files again by a job, which by default has a task for each file; a copy of the session says otherwise.
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(LISTING, str(2 * spark.sparkContext.defaultParallelism))
+    files = own.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").schema("value string").load(folder)
     files = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
 
     def batch(df: DataFrame, _: int) -> None:
-        lines = transcripts.lines_of(df)
-        formats = transcripts.detect_formats(lines)
-        by = lambda h: lines.join(formats.filter(F.col("harness") == h), "path", "left_semi")
-        store.insert(fold_a(by("claude"), now).unionByName(fold_b(by("codex"), now)))
+        first, second = transcripts.lines_by_format(df)
+        store.insert(fold_a(first, now).unionByName(fold_b(second, now)))
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

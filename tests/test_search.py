@@ -160,3 +160,42 @@ def test_terms_of_scripts_without_spaces(spark):
     got = [r[0] for r in texts(spark, *rows).orderBy("id").select(raw_terms(F.col("text"))).collect()]
     assert got[0] == ["plain", "words", "12"] and got[1] == ["数据", "据库", "index", "很慢"] and got[4] is None
     assert [g for g, r in zip(got, rows, strict=True) if r is not None] == [query_terms(r, stemmed=False) for r in rows if r is not None]
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_rows_make_their_postings_without_a_shuffle(spark, stemmed):
+    docs = texts(spark, "Red greens, green reds red", "", None, "greens", "日本語 red 日本", "blue").repartition(2)
+    want, got = bm25.build(docs, stemmed=stemmed), bm25.build(docs, stemmed=stemmed, unique=True)
+    assert sorted(map(tuple, got.postings.collect())) == sorted(map(tuple, want.postings.collect()))
+    assert sorted(map(str, got.lengths.collect())) == sorted(map(str, want.lengths.collect()))
+    assert "hashpartitioning" not in got.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_formats_are_told_by_the_files_own_rows(spark):
+    from colloquy.plans.catalogue import FILES
+    from colloquy.sources import transcripts
+
+    second = '{"type":"event_msg","payload":{"a":1}}'
+    odd = [("x1", 1, "not json\r\n\n" + second), ("x2", 1, '{"type":"event_msg","payload":""}\n' + second), ("x3", 1, "3\n" + second), ("x4", 1, second + '\n{"type":"user"}'), ("x5", 1, "no")]
+    files = spark.createDataFrame(FILES + odd, "path string, mtime_ms long, text string")
+    lines = transcripts.lines_of(files)
+    for harness, got in zip(("claude", "codex"), transcripts.lines_by_format(files), strict=True):
+        want = lines.join(transcripts.detect_formats(lines).filter(F.col("harness") == harness), "path", "left_semi")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_stream_looks_at_many_files_in_few_tasks(spark, tmp_path):
+    from colloquy.operators.store import Store
+    from colloquy.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    for i in range(60):
+        (tmp_path / "in" / f"{i}.jsonl").write_text('{"type":"user","message":{"content":"q"}}\n{"type":"assistant","message":{"content":"a"}}\n')
+    held = Store(spark, f"{tmp_path}/store")
+    status = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    ingest.sync_stream(spark, f"{tmp_path}/in", held, f"{tmp_path}/checkpoint", "2026-06-01T00:00:00Z").awaitTermination()
+    assert held.read("exchanges").count() == 60
+    found = stages()
+    assert max(found.apply(i).numTasks() for i in range(found.size()) if found.apply(i).stageId() not in known) < 60
